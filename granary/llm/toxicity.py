@@ -24,6 +24,8 @@ from granary.llm.common import arrow_map, texts_of
 MAX_ROWS = 8000
 BUCKETS = 1 << 18
 TERMS, RANK, STEPS, L2 = 512, 8, 250, 1e-3
+#: Terms with a smaller G statistic are noise (one in six hundred passes by chance).
+MIN_G = 10.0
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -62,7 +64,7 @@ def fit(rows: list[set[int]], labels: np.ndarray, seed: int = 1) -> Machine:
         g = np.nan_to_num(a * np.log(a / (seen * rate))) + np.nan_to_num(b * np.log(b / (seen * (1 - rate))))
     g[seen < 2] = 0
     best = np.argsort(-g, kind="stable")[:TERMS]
-    terms = {int(t): k for k, t in enumerate(best[g[best] > 0])}
+    terms = {int(t): k for k, t in enumerate(best[g[best] > MIN_G])}
     x = np.zeros((n, len(terms)))
     for i, r in enumerate(rows):
         x[i, [terms[t] for t in r if t in terms]] = 1
