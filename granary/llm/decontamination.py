@@ -26,8 +26,12 @@ def words(text: Column) -> Column:
 
 def grams(w: Column, k: Column | int, hashed: bool) -> Column:
     k = F.lit(k) if isinstance(k, int) else k
-    starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)) if hashed else F.array_join(F.slice(w, i, k), " ")))
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)) if hashed else F.array_join(F.slice(w, i, k), " "))
+
+    # the words are bound by a lambda, else they would be split anew for each shingle
+    return F.array_distinct(F.flatten(F.transform(F.array(w), of)))
 
 
 def contained(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

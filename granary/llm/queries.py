@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, decontamination, jaccard_join, quality, surrogates, token_counts, toxicity, url_filter
+from granary.llm import bpe, decontamination, jaccard_join, quality, suffix_dedup, surrogates, token_counts, toxicity, url_filter
 from granary.llm.common import table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -53,6 +53,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe(), keep_ids=False)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_viterbi_counts": op5,
     "op6_url_filter": op6,
     "op7_chunked_bpe": op7,
+    "op8_suffix_dedup": op8,
     "op9_jaccard_join": op9,
     "op10_surrogates": op10,
 }
