@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, decontamination, jaccard_join, quality, suffix_dedup, surrogates, token_counts, toxicity, url_filter
+from granary.llm import bpe, decontamination, html_extract, jaccard_join, quality, suffix_dedup, surrogates, token_counts, toxicity, url_filter
 from granary.llm.common import table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -28,6 +28,10 @@ def pieces() -> list[tuple[str, float]]:
 KEY = "change me"
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tree_marginals": op1,
     "op2_benchmark_containment": op2,
     "op3_compression_bands": op3,
     "op4_factorization_machine": op4,
