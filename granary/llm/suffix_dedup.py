@@ -136,13 +136,27 @@ def _gathered(ctx: DataFrame, kind: str) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            joined = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, REACH + LENGTH)
+            ctx, hashes = t["ctx"].to_pylist(), t["hash"].to_numpy()
+            left, right, at = (t[c].to_numpy() for c in ("left", "right", "at"))
             ids = t["id"].combine_chunks()
-            owner = ids.to_numpy(zero_copy_only=False)
-            owner = np.unique(owner, return_inverse=True)[1]
-            at = t["at"].to_numpy()
-            spans = _covered(_runs(joined, t["left"].to_numpy(), t["right"].to_numpy(), t["hash"].to_numpy(), owner), at)
-            rows = [(i, lo, hi) for i, s in enumerate(spans) for lo, hi in s]
+            owner = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            # equal contexts first: all but the first owner's are covered whole, and one of each is sorted
+            same: dict[tuple, int] = {}
+            kind_of = np.fromiter((same.setdefault(k, len(same)) for k in zip(hashes.tolist(), left.tolist(), right.tolist(), ctx, strict=True)), np.int64, len(ctx))
+            low = np.full(len(same), np.iinfo(np.int64).max)
+            np.minimum.at(low, kind_of, owner)
+            mine = owner == low[kind_of]
+            long = left + right >= LENGTH
+            rows = [(i, int(at[i] - left[i]), int(at[i] + right[i])) for i in np.flatnonzero(~mine & long).tolist()]
+            one = np.unique(kind_of, return_index=True)[1]
+            _, group, size = np.unique(hashes[one], return_inverse=True, return_counts=True)
+            one = one[size[group] > 1]
+            if len(one):
+                joined = np.frombuffer(b"".join(ctx[i] for i in one.tolist()), np.uint8).reshape(-1, REACH + LENGTH)
+                found = np.zeros((len(same), REACH + 1), bool)
+                found[kind_of[one]] = _runs(joined, left[one], right[one], hashes[one], low[kind_of[one]])
+                sel = np.flatnonzero(mine & found.any(1)[kind_of])
+                rows += [(int(i), lo, hi) for i, part in zip(sel, _covered(found[kind_of[sel]], at[sel]), strict=True) for lo, hi in part]
             where = pa.array([r[0] for r in rows], pa.int64())
             return pa.RecordBatch.from_arrays([ids.take(where), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "lo", "hi"])
 
@@ -179,9 +193,15 @@ def _aggregated(ctx: DataFrame, kind: str) -> DataFrame:
 
         return step
 
-    each = written(arrow_map(ctx.select("hash", "id", "at", "left", "right", "ctx"), f"id {kind}, lo bigint, val binary", make).distinct(), "strings")
+    whole = ["hash", "left", "right", "ctx"]
+    low = ctx.groupBy(*whole).agg(F.min("id").alias("first"))
+    ctx = written(ctx.join(low, whole).select(*whole, "id", "at", "first"), "owners")
+    # of equal contexts, all but the first owner's are covered whole; the first owner's go on string by string
+    copies = ctx.where(f"id > first and left + right >= {LENGTH}").select("id", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("right")).alias("hi"))
+    own = ctx.where("id = first").select("hash", "id", "at", "left", "right", "ctx")
+    each = written(arrow_map(own, f"id {kind}, lo bigint, val binary", make).distinct(), "strings")
     least = each.groupBy("val").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("val", "first")
-    return each.join(least, "val").where("id > first").select("id", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    return copies.union(each.join(least, "val").where("id > first").select("id", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
