@@ -70,14 +70,15 @@ def groups(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """mapInArrow with state: make() runs once for each task and gives the function of its batches."""
+def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = 1 << 30) -> DataFrame:
+    """mapInArrow with state: make() runs once for each task and gives the function of its batches, cut to some rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for b in batches:
-            if b.num_rows and (out := step(b)) is not None:
-                yield out
+            for at in range(0, b.num_rows, rows):
+                if (out := step(b.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

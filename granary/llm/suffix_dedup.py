@@ -27,7 +27,7 @@ from granary.llm.common import arrow_map, mix, written
 LENGTH, K = 50, 16
 REACH = LENGTH - K
 #: Occurrences of an anchor beyond which it is not gathered, and contexts of a block.
-HOT, BLOCK = 4000, 12_000
+HOT, BLOCK = 4000, 6_000
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -107,25 +107,26 @@ def _contexts(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows, h, p, left, right, ctx = [], [], [], [], [], []
-            for i, (t, marks) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                for m in marks.as_py():
-                    a = m["at"]
-                    lo, hi = max(0, a - REACH), min(len(raw), a + LENGTH)
-                    rows.append(i)
-                    h.append(m["hash"])
-                    p.append(a)
-                    left.append(a - lo)
-                    right.append(hi - a)
-                    ctx.append(bytes(REACH - (a - lo)) + raw[lo:hi] + bytes(LENGTH - (hi - a)))
-            cols = [pa.array(h, pa.int64()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(p, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(ctx, pa.binary())]
+            marks = b.column(2)
+            flat = marks.flatten()
+            h, p = flat.field(0), flat.field(1).to_numpy()
+            rows = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
+            left, right, ctx = [], [], []
+            last, raw = -1, b""
+            for i, a in zip(rows.tolist(), p.tolist(), strict=True):
+                if i != last:
+                    last, raw = i, b.column(1)[i].as_py().encode("utf-8", "surrogatepass")
+                lo, hi = max(0, a - REACH), min(len(raw), a + LENGTH)
+                left.append(a - lo)
+                right.append(hi - a)
+                ctx.append(bytes(REACH - (a - lo)) + raw[lo:hi] + bytes(LENGTH - (hi - a)))
+            cols = [h, b.column(0).take(pa.array(rows, pa.int64())), pa.array(p, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(ctx, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["hash", "id", "at", "left", "right", "ctx"])
 
         return step
 
     marked = places.groupBy("id").agg(F.collect_list(F.struct("hash", "at")).alias("marks"))
-    return arrow_map(texts.join(marked, "id").select("id", "text", "marks"), _CTX.format(k=kind), make)
+    return arrow_map(texts.join(marked, "id").select("id", "text", "marks"), _CTX.format(k=kind), make, 500)
 
 
 def _gathered(ctx: DataFrame, kind: str) -> DataFrame:
@@ -199,7 +200,7 @@ def _aggregated(ctx: DataFrame, kind: str) -> DataFrame:
     # of equal contexts, all but the first owner's are covered whole; the first owner's go on string by string
     copies = ctx.where(f"id > first and left + right >= {LENGTH}").select("id", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("right")).alias("hi"))
     own = ctx.where("id = first").select("hash", "id", "at", "left", "right", "ctx")
-    each = written(arrow_map(own, f"id {kind}, lo bigint, val binary", make).distinct(), "strings")
+    each = written(arrow_map(own, f"id {kind}, lo bigint, val binary", make, 1000).distinct(), "strings")
     least = each.groupBy("val").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("val", "first")
     return copies.union(each.join(least, "val").where("id > first").select("id", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
