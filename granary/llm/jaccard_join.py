@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BLANKS, arrow_map, mix, texts_of, written
+from granary.llm.common import BLANKS, arrow_map, drop_written, mix, texts_of, written
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BLANKS, "abcdefghijklmnopqrstuvwxyz" + " " * len(BLANKS))
 #: Buckets of the sketch that orders columns; it goes to every task.
@@ -143,15 +143,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
-    whole = written(shingles(df, id_col, text_col, size), "shingles")
+    full = written(shingles(df, id_col, text_col, size).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    whole = written(full.select("id", "n", "key", "row"), "sizes")
     filled = whole.where("n > 0")
-    keys = written(filled.groupBy("key").agg(F.min("id").alias("rep")), "keys")
-    # one row for each set; ids are joined, so a large group of copies adds no hot key
-    reps = filled.join(keys.select(F.col("rep").alias("id"), F.col("key").alias("k")), "id").where(F.col("key") == F.col("k")).groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("packed").alias("packed"))
-    rows = written(reps.select("id", "n", "packed"), "rows")
+    # one row for each set; rows are numbered, so a large group of copies adds no hot key to the join
+    keys = written(filled.groupBy("key").agg(F.min(F.struct("id", "row")).alias("x")).select("key", F.col("x.id").alias("rep"), F.col("x.row").alias("row")), "keys")
+    rows = written(full.join(keys.select("row"), "row", "left_semi").select("id", "n", "packed"), "rows")
+    drop_written(full)
+    keys = keys.drop("row")
     post = written(prefixes(rows, column_sketch(rows), percent), "columns")
     common = post.groupBy("col").agg(F.count("*").alias("c")).where("c > 1").select("col")
+    once = post
     post = written(post.join(common, "col"), "columns")
+    drop_written(once)
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     edges, roots, done = None, None, None
     for turn in range(STARS + 1):
