@@ -81,7 +81,7 @@ def column_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
-    """(column, id, n) for the first columns of each row."""
+    """(column, id, n, place in the order) for the first columns of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(order.tobytes())
     kind = rows.select("id").dtypes[0][1]
 
@@ -89,7 +89,7 @@ def prefixes(rows: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
         rank = np.frombuffer(shared.value, np.uint8)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            cols, at = [], []
+            cols, at, pos = [], [], []
             for i, p in enumerate(b.column(2).to_pylist()):
                 s = np.frombuffer(p, np.uint64)
                 n = len(s)
@@ -97,12 +97,13 @@ def prefixes(rows: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
                 first = s[np.lexsort((s, rank[(s % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
                 cols.append(first.view(np.int64))
                 at.append(np.full(k, i, np.int64))
+                pos.append(np.arange(k))
             where = pa.array(np.concatenate(at))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols)), b.column(0).take(where), b.column(1).take(where)], names=["col", "id", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols)), b.column(0).take(where), b.column(1).take(where), pa.array(np.concatenate(pos).astype(np.int32))], names=["col", "id", "n", "pos"])
 
         return step
 
-    return arrow_map(rows.select("id", "n", "packed"), f"col bigint, id {kind}, n bigint", make)
+    return arrow_map(rows.select("id", "n", "packed"), f"col bigint, id {kind}, n bigint, pos int", make)
 
 
 def checked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +157,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     once = post
     post = written(post.join(common, "col"), "columns")
     drop_written(once)
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    # sizes, and what can still be shared from the first common column on; every linked pair passes at that column
+    rest = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("m") - 1 - F.col("pos_b"))
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (rest * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     edges, roots, done = None, None, None
     for turn in range(STARS + 1):
         at = post if roots is None else post.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -164,11 +167,11 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
             at = at.withColumn("root", F.col("id"))
         mixed = at.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("col")
         at = at.join(mixed, "col")
-        other = at.select("col", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+        other = at.select("col", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"))
         if turn < STARS:
             # one row of the column, another in each round
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")) if turn else F.min(F.struct("n", "id", "root"))
-            hub = at.groupBy("col").agg(pick.alias("x")).select("col", F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.root").alias("root"))
+            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "root")) if turn else F.min(F.struct("pos", "id", "n", "root"))
+            hub = at.groupBy("col").agg(pick.alias("x")).select("col", F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.pos").alias("pos"), F.col("x.root").alias("root"))
             pairs = other.join(hub, "col")
             pairs = pairs.where(F.col("root") != F.col("root_b"))
         else:
