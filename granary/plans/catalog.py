@@ -21,7 +21,40 @@ def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"group_summary": group_summary}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median and median absolute deviation of each kind of event."""
+    events = _events(spark, sf_dir)
+    mid = events.groupBy("event_type").agg(F.median("value").alias("mid"))
+    off = events.join(F.broadcast(mid) if mid.limit(1001).count() <= 1000 else mid, "event_type")
+    return off.groupBy("event_type").agg(F.round(F.first("mid"), 6).alias("mid"), F.round(F.median(F.abs(F.col("value") - F.col("mid"))), 6).alias("mad"))
+
+
+def path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed value by its path in each JSON document; null where it is missing."""
+    return _events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset and size of each 4096-byte slice of a payload."""
+    n = F.octet_length("text")
+    at = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 4096).cast("int")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), F.explode(at).alias("i"))
+    return docs.select("doc_id", (F.col("i") * 4096).cast("long").alias("offset"), F.least(F.lit(4096), F.col("n") - F.col("i") * 4096).cast("long").alias("size"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "group_summary": group_summary,
+    "median_by_group": median_by_group,
+    "path_lookup": path_lookup,
+    "position_index": position_index,
+}
 SQL: dict[str, str] = {
     "group_summary": "SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
+    "median_by_group": "WITH m AS (SELECT event_type, median(value) AS mid FROM events GROUP BY 1) SELECT event_type, round(any_value(mid), 6) AS mid, round(median(abs(value - mid)), 6) AS mad FROM events JOIN m USING (event_type) GROUP BY 1",
+    "path_lookup": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "position_index": "WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents), e AS (SELECT doc_id, n, unnest(range(0, n, 4096)) AS o FROM d) SELECT doc_id, o AS \"offset\", least(4096, n - o) AS size FROM e",
 }
