@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to spark.checkpoint.dir and read back; a lost executor then loses nothing. The folder is set here only where nothing set it."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder is set here only where nothing set it, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir("/tmp/checkpoints")
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back; a lost executor then loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

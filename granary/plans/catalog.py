@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from granary.operators import checks, chunks, stats
 from granary.operators.ordered import at_ranks, running
+from granary.operators.staging import shared_folder
+from granary.streaming.guard import guard_stream
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +206,33 @@ def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("credible", (F.col("n") > 50) & (F.col("printable") * 10 >= F.col("n") * 7) & (F.col("digits") * 2 < F.col("n")))
 
 
+def copy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy and literal ops that make each document from the one before it."""
+    ops = chunks.copy_ops(*_versions(spark, sf_dir), "doc_id")
+    return ops.join(_versions(spark, sf_dir)[1].select("doc_id"), "doc_id", "left_semi").select("doc_id", "op", "kind", "from", "size", F.md5("data").alias("data_md5"))
+
+
+def copy_delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of each document replayed from the one before it by its ops."""
+    base, target = _versions(spark, sf_dir)
+    made = chunks.replayed(base, chunks.copy_ops(base, target, "doc_id"), "doc_id")
+    return target.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("sha256"))
+
+
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field of each JSON document as a row."""
+    return _events(spark, sf_dir).select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+def stream_replay_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay guard over events as a stream."""
+    folder = f"{shared_folder(spark)}/guard-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(_events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+    seen = events.select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("seq"))
+    guard_stream(seen, "user_id", "event_id", "seq", folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("user_id", "event_id", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_summary": group_summary,
     "median_by_group": median_by_group,
@@ -232,6 +262,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "front_coded_names": front_coded_names,
     "key_dictionary": key_dictionary,
     "byte_classes": byte_classes,
+    "copy_delta": copy_delta,
+    "copy_delta_round_trip": copy_delta_round_trip,
+    "document_fields": document_fields,
+    "stream_replay_guard": stream_replay_guard,
 }
 _GATE_SQL = """o AS (SELECT year(o_orderdate) AS y, o_orderpriority, o_orderstatus, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1, 2, 3),
 m AS (SELECT y, o_orderpriority, o_orderstatus, 'orders' AS metric, CAST(orders AS DOUBLE) AS v, 2 AS warn, 10 AS fail FROM o UNION ALL SELECT y, o_orderpriority, o_orderstatus, 'cents', CAST(cents AS DOUBLE), 5, 20 FROM o),
@@ -265,4 +299,14 @@ SQL: dict[str, str] = {
     "front_coded_names": "WITH k AS (SELECT DISTINCT p_name AS key FROM part WHERE p_name IS NOT NULL), l AS (SELECT key, row_number() OVER (ORDER BY key) AS position, lag(key) OVER (ORDER BY key) AS before FROM k), s AS (SELECT key, position, len(list_filter(range(1, 1 + least(length(key), coalesce(length(before), 0))), lambda i: substr(key, 1, i) = substr(before, 1, i))) AS shared FROM l) SELECT position, shared, substr(key, CAST(shared + 1 AS BIGINT)) AS rest FROM s",
     "key_dictionary": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
     "byte_classes": "WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) AS digits, length(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')) AS printable FROM documents) SELECT *, n > 50 AND printable * 10 >= n * 7 AND digits * 2 < n AS credible FROM d",
+    "copy_delta": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, o, substr(h, 2 * o + 1, 16384) AS h FROM (SELECT doc_id, h, unnest(range(0, n, 8192)) AS o FROM t)),
+b AS (SELECT doc_id + 1 AS doc_id, h, min(o) AS f FROM s GROUP BY 1, 2),
+m AS (SELECT s.doc_id, s.o, s.h, length(s.h) // 2 AS z, b.f FROM s LEFT JOIN b ON s.doc_id = b.doc_id AND s.h = b.h),
+k AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND CASE WHEN f IS NULL THEN lag(f) OVER w IS NULL ELSE f IS NOT DISTINCT FROM lag(f) OVER w + lag(z) OVER w END THEN 0 ELSE 1 END AS fresh FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY o)),
+r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS op FROM k)
+SELECT doc_id, op, CASE WHEN min(f) IS NULL THEN 'LITERAL' ELSE 'COPY' END AS kind, min(f) AS "from", CAST(sum(z) AS BIGINT) AS size, CASE WHEN min(f) IS NULL THEN md5(unhex(string_agg(h, '' ORDER BY o))) END AS data_md5 FROM r GROUP BY 1, 2""",
+    "copy_delta_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "document_fields": "SELECT event_id, j.key, json_extract_string(props, '$.' || j.key) AS value FROM events, json_each(props) j",
 }
+SQL["stream_replay_guard"] = SQL["replay_guard"]
