@@ -61,3 +61,14 @@ def test_replay_guard(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 9), ("a", 4, 7), ("b", 1, 1)], "k string, t long, s long")
     got = {(r.k, r.t): r.accepted for r in checks.replay_guard(df, ["k"], "t", "s").collect()}
     assert got == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): True}
+
+
+def test_payload_crc32(spark):
+    import zlib
+
+    from granary.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.crc32 for r in catalog.QUERIES["payload_crc32"](spark, sf).collect()}
+    assert got == {k: None if t is None else zlib.crc32(t.encode()) for k, t in texts.items()}
