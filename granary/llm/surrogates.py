@@ -4,6 +4,8 @@ A surrogate is drawn from SHA-512 of key, type, attempt and value, so equal valu
 documents (coreference). Digits stay digits, letters stay letters of their case and script, punctuation, "+1", mail
 domains and titles stay; names get an ending of the title's gender. A collision check over all distinct values makes
 values whose surrogate is another value's surrogate, or is itself found in the data, draw again, until none is left.
+What still clashes after some draws, as where a format has few values, draws from a wider space: longer local parts,
+names and numbers, by four more characters each round, so that it ends whatever the data hold.
 
 Null texts stay null and empty texts empty, with no entities. Rows are independent but for the collision check.
 """
@@ -32,6 +34,8 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = "áàâäéèêëíîïñóôöúûüç"
 #: Exceptions (values that drew again) up to this many travel as a map; beyond it the entities are joined.
 MAX_MAP = 20_000
+#: Each draw after those in the value's own format is so many characters longer.
+STEP = 4
 
 
 def kind_of(value: Column) -> Column:
@@ -59,25 +63,34 @@ def _reshape(value: Column, digest: Column) -> Column:
             .when(c.rlike("[A-Z]"), of(UPPER))
             .when(c.rlike(r"\p{Ll}"), of(ACCENTED))
             .when(c.rlike(r"\p{Lu}"), F.upper(of(ACCENTED)))
+            .when(c.rlike(r"\p{L}"), of(LOWER))
             .otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate(value: Column, key: str, attempt: Column) -> Column:
+def surrogate(value: Column, key: str, attempt: Column, draws: int = 8) -> Column:
     kind = kind_of(value)
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value), 512)
+    wider = F.greatest(attempt - (draws - 1), F.lit(0)) * STEP
+    more = F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("wider"), attempt.cast("string"), value), 512), F.lit(1), wider)
+    letters, digits = F.translate(more, "0123456789", "ghijklmnop"), F.translate(more, "abcdef", "012345")
     at = F.instr(value, "@")
-    email = F.concat(_reshape(F.substr(value, F.lit(1), at - 1), digest), F.substr(value, at))
-    hexes = F.substr(digest, F.lit(1), F.length(value))
+    local = F.substr(value, F.lit(1), at - 1)
+    # a local part of punctuation only has nothing to redraw
+    bare = F.when(local.rlike(r"[\p{L}0-9]"), "").otherwise(F.translate(F.substr(digest, F.lit(1), F.lit(2 * STEP)), "0123456789", "ghijklmnop"))
+    email = F.concat(_reshape(local, digest), bare, letters, F.substr(value, at))
+    hexes = F.concat(F.substr(digest, F.lit(1), F.length(value)), more)
     octets = F.concat_ws(".", *((_draw(digest, F.lit(j), 223) + 1).cast("string") for j in range(4)))
+    # all addresses have four numbers; a port makes room
+    octets = F.when(wider > 0, F.concat(octets, F.lit(":"), digits)).otherwise(octets)
     prefix = F.regexp_extract(value, r"^(?:\+1(?=\D)|\+\d{1,3}(?=\D)|[A-Z]{2}(?=\d\d)|AKIA|(?:sk|ghp|pk)[-_])?", 0)
-    rest = F.concat(prefix, _reshape(F.substr(value, F.length(prefix) + 1), digest))
+    rest = F.concat(prefix, _reshape(F.substr(value, F.length(prefix) + 1), digest), digits)
     title = F.regexp_extract(value, r"^\S+ ", 0)
     body = _reshape(F.lower(F.substr(value, F.length(title) + 1)), digest)
     end = F.when(title.rlike(f"^(?:{MALE})\\b"), "o").when(title.rlike(f"^(?:{FEMALE})\\b"), "a").otherwise("e")
-    name = F.concat(title, F.initcap(F.concat(body, end)))
+    name = F.concat(title, F.initcap(F.concat(body, letters, end)))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
@@ -104,15 +117,10 @@ def replace(df: DataFrame, key: str, text_col: str = "text", draws: int = 8) ->
     text = F.col(text_col).cast("string")
     found = df.withColumn("__e", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     values = df.select(F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("value")).distinct()
-    drawn = written(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), key, F.lit(0)).alias("s")), "surrogates")
-    for _ in range(draws):
-        again = written(_clashing(drawn), "clashes")
-        if not again.limit(1).count():
-            break
+    drawn = written(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), key, F.lit(0), draws).alias("s")), "surrogates")
+    while (again := written(_clashing(drawn), "clashes")).limit(1).count():
         marked = drawn.join(again.withColumn("hit", F.lit(1)), "value", "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0)))
-        drawn = written(marked.select("value", "attempt", surrogate(F.col("value"), key, F.col("attempt")).alias("s")), "surrogates")
-    else:
-        raise RuntimeError("surrogates still collide")
+        drawn = written(marked.select("value", "attempt", surrogate(F.col("value"), key, F.col("attempt"), draws).alias("s")), "surrogates")
     redrawn = drawn.where("attempt > 0").select("value", "attempt")
     parts = F.split(text, ANY, -1)
 
@@ -123,13 +131,13 @@ def replace(df: DataFrame, key: str, text_col: str = "text", draws: int = 8) ->
     if few <= MAX_MAP:
         if few:
             lookup = redrawn.agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("m")).scalar()
-            done = found.withColumn("__m", lookup).withColumn("__s", F.transform("__e", lambda v: surrogate(v, key, F.coalesce(F.try_element_at("__m", v), F.lit(0)))))
+            done = found.withColumn("__m", lookup).withColumn("__s", F.transform("__e", lambda v: surrogate(v, key, F.coalesce(F.try_element_at("__m", v), F.lit(0)), draws)))
         else:
-            done = found.withColumn("__s", F.transform("__e", lambda v: surrogate(v, key, F.lit(0))))
+            done = found.withColumn("__s", F.transform("__e", lambda v: surrogate(v, key, F.lit(0), draws)))
     else:
         rows = found.withColumn("__r", F.monotonically_increasing_id())
         each = rows.select("__r", F.posexplode("__e").alias("i", "value")).join(redrawn, "value", "left")
-        made = each.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("i", surrogate(F.col("value"), key, F.coalesce("attempt", F.lit(0))).alias("s")))).alias("x"))
+        made = each.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("i", surrogate(F.col("value"), key, F.coalesce("attempt", F.lit(0)), draws).alias("s")))).alias("x"))
         done = rows.join(made, "__r", "left").withColumn("__s", F.coalesce(F.col("x.s"), F.array().cast("array<string>")))
     new = F.when(F.size("__e") > 0, joined(F.col("__s"))).otherwise(text)
     return done.select(*names, new.alias(text_col), F.greatest(F.size("__e"), F.lit(0)).cast("long").alias("n_entities"))

@@ -112,6 +112,15 @@ def test_surrogates(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text) and "743" not in got[1].text and re.search(r"Frau [A-Z][a-z]+a$", got[1].text)
 
 
+def test_surrogates_of_full_spaces_and_of_values_without_classes(spark):
+    mails = [f"{c}@x.org" for c in "0123456789abcdefghijklmnopqrstuvwxyz"] + ["_@x.org", "...@x.org", "\u738b@x.org", "\u674e\u660e@x.org"]
+    df = spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails * 2)], "doc_id long, text string")
+    got = rows(surrogates.replace(df, "k"))
+    made = [re.fullmatch(r"to (\S+@x\.org) now", got[i].text)[1] for i in range(len(mails))]
+    assert made == [got[i + len(mails)].text[3:-4] for i in range(len(mails))]
+    assert len(set(made)) == len(mails) and not set(made) & set(mails)
+
+
 def test_url_verdicts(spark):
     urls = ["http://A.example.net/en/1?x", "https://example.net/de/", "http://x.example.com/de/2", "http://q.org/fr/", None, "nothing", "http://net"]
     got = rows(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.RULES), "page_id")
