@@ -7,6 +7,8 @@ one half are the text. Weights are trained on labelled pages by the likelihood's
 
 Labelled pages are a parameter; without any, a generated set of common layouts is used. Null, empty and broken markup
 gives what text the parser finds, or the empty string. Rows are independent. Extra columns are not read.
+A head without end tag ends at the first tag or text that can't stand in it, other hidden elements without end tag at
+the next block.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ from granary.llm.common import arrow_map, texts_of
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas select textarea button audio video".split())
+#: What may stand in a head.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Hidden elements that a block ends where their own end tag is missing; browsers show the text after them.
+RECOVERS = frozenset("noscript svg math object canvas select button audio video".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article section div main body nav aside footer header form".split())
+BLOCKS = ENDS_P | SCOPES
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -49,14 +56,21 @@ class Node:
 class _Tree(HTMLParser):
     """Nodes in page order; a parent comes before its children."""
 
-    def __init__(self):
+    def __init__(self, unclosed=frozenset()):
         super().__init__(convert_charrefs=True)
+        self.unclosed = unclosed
+        #: Numbers, in page order, of the open hidden elements, and of those that ended without their end tag.
+        self.numbers: list[int] = []
+        self.missed: set[int] = set()
+        self.n_hidden = 0
         self.nodes = [Node("root", -1)]
         self.open: list[tuple[str, int]] = [("root", 0)]
         self.segment = -1
         self.hidden = self.links = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.open[-1] == ("head", -1) and tag not in IN_HEAD:
+            self._close("head")
         if tag in VOID:
             if tag == "br" and self.segment >= 0:
                 self.nodes[self.segment].text.append(" ")
@@ -64,13 +78,22 @@ class _Tree(HTMLParser):
                 self.segment = -1
             return
         if tag in HIDDEN:
+            if tag in ("button", "select"):
+                self._close(tag, SCOPES)
             self.open.append((tag, -1))
             self.hidden += 1
+            self.numbers.append(self.n_hidden)
+            if tag not in RECOVERS:
+                self.unclosed -= {self.n_hidden}
+            self.n_hidden += 1
             return
         if tag in INLINE:
             self.open.append((tag, -2))
             self.links += tag == "a"
             return
+        if tag in BLOCKS and not self.unclosed.isdisjoint(self.numbers):
+            hidden = [k for k, (_, at) in enumerate(self.open) if at == -1]
+            self._cut(next(k for k, n in zip(hidden, self.numbers, strict=True) if n in self.unclosed))
         if tag in ENDS_P:
             self._close("p", SCOPES)
         if tag in SIBLINGS:
@@ -92,15 +115,21 @@ class _Tree(HTMLParser):
         if tag not in VOID and tag in ("svg", "math", "iframe", "script"):
             self.handle_endtag(tag)
 
+    def _cut(self, k, own=False):
+        """The k-th open element and those in it end; own if by its end tag."""
+        for t, at in self.open[k:]:
+            self.hidden -= at == -1
+            self.links -= at == -2 and t == "a"
+            if at >= 0:
+                self.segment = -1
+        gone, self.numbers = self.numbers[self.hidden :], self.numbers[: self.hidden]
+        self.missed.update(gone[own and self.open[k][1] == -1 :])
+        del self.open[k:]
+
     def _close(self, tag, stop=frozenset()):
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                for t, at in self.open[k:]:
-                    self.hidden -= at == -1
-                    self.links -= at == -2 and t == "a"
-                    if at >= 0:
-                        self.segment = -1
-                del self.open[k:]
+                self._cut(k, True)
                 return
             if self.open[k][0] in stop:
                 return
@@ -113,6 +142,8 @@ class _Tree(HTMLParser):
             self._close(tag, ENDS_P | SCOPES if tag in INLINE else frozenset())
 
     def handle_data(self, data):
+        if self.open[-1] == ("head", -1) and data.strip():
+            self._close("head")
         if self.hidden:
             return
         if self.segment < 0:
@@ -130,6 +161,10 @@ def parse(html: str) -> list[Node]:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if missed := tree.missed.union(tree.numbers):
+        tree = _Tree(frozenset(missed))
+        tree.feed(html)
+        tree.close()
     return tree.nodes
 
 

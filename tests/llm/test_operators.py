@@ -134,6 +134,23 @@ def test_main_text():
     assert html_extract.main_text("", html_extract.default_model()) == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body>{}",
+        "<head><meta charset=utf-8><title>x</title>{}",
+        "<body><button>Go{}",
+        "<body><select><option>One{}</body>",
+        '<body><noscript><img src="/x">{}</body></html>',
+        "<body><button><div>Menu</div></button>{}<button><div>Send</div></button>",
+        "<body><noscript><p>Switch scripts on to read this page.</p></noscript>{}",
+    ],
+)
+def test_main_text_after_unclosed_elements(page):
+    article = "<article><h1>A B</h1><p>One two three four.</p><p>Five six seven eight.</p></article>"
+    assert html_extract.main_text(page.format(article), html_extract.default_model()) == "A B\nOne two three four.\nFive six seven eight."
+
+
 def test_toxicity_learns_pairs():
     rng = random.Random(2)
     texts = [" ".join(rng.sample(["red", "blue", "green", "wall", "door"], 2)) for _ in range(300)]
