@@ -1,6 +1,7 @@
 """N-gram Jaccard join by a blocked sparse product of documents and n-grams, exact at the threshold.
 
-Documents with equal shingle sets are one row of the matrix (their representative is the smallest id). Columns of each
+Documents with equal shingle sets are one row of the matrix (their representative is the smallest id, null ids last,
+and goes by its number in that order, so a null or repeated id names no other set). Columns of each
 row are put in one global order, rare first (by a count sketch of fixed size), and only the first
 n - ceil(t * n) + 1 of them enter the product: two rows that reach the threshold share one of these. A block of the
 product is one column; pairs whose sizes already exclude the threshold are dropped, and what is left is checked by
@@ -9,7 +10,8 @@ components found so far are contracted, and this repeats between different compo
 remain. So a group of near copies costs a star, and no link between two components is lost.
 
 Null, empty and blank texts have no shingles and link with nothing. Repeated ids each keep their row and the
-component of its text. Sets are compared by 64-bit shingle hashes.
+component of its text; a component is named by its smallest id that is not null, and by null where all its ids are.
+Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -46,20 +48,21 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def shingles(df: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """Per row: id, n, key (a digest of the set) and the packed set."""
+def shingles(df: DataFrame, id_col: str, text_col: str, size: int = 5, row_col: str | None = None) -> DataFrame:
+    """Per row: id, n, key (a digest of the set) and the packed set, and the row's number if there is one."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_hashes(t, size) for t in texts_of(b.column(1))]
             packed = [s.tobytes() for s in sets]
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(p).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "n", "key", "packed"])
+            return pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], names=["id", "n", "key", "packed", "row"][: 5 if row_col else 4])
 
         return step
 
     kind = df.select(id_col).dtypes[0][1]
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")), f"id {kind}, n bigint, key binary, packed binary", make)
+    numbers = [F.col(row_col).cast("long")] if row_col else []
+    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), *numbers), f"id {kind}, n bigint, key binary, packed binary" + ", row bigint" * len(numbers), make)
 
 
 def column_sketch(rows: DataFrame) -> np.ndarray:
@@ -142,16 +145,17 @@ def components(edges: DataFrame) -> DataFrame:
         at = nxt
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: id, n_shingles, component_id."""
-    full = written(shingles(df, id_col, text_col, size).withColumn("row", F.monotonically_increasing_id()), "shingles")
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, row_col: str | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id; with a column that numbers the rows, also that and whether the row is its component's first."""
+    sets = shingles(df, id_col, text_col, size, row_col)
+    full = written(sets if row_col else sets.withColumn("row", F.monotonically_increasing_id()), "shingles")
     whole = written(full.select("id", "n", "key", "row"), "sizes")
     filled = whole.where("n > 0")
     # one row for each set; rows are numbered, so a large group of copies adds no hot key to the join
-    keys = written(filled.groupBy("key").agg(F.min(F.struct("id", "row")).alias("x")).select("key", F.col("x.id").alias("rep"), F.col("x.row").alias("row")), "keys")
-    rows = written(full.join(keys.select("row"), "row", "left_semi").select("id", "n", "packed"), "rows")
+    least = filled.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")).select("key", "x.*").orderBy("none", "id", "row")
+    keys = written(least.select("key", F.col("id").alias("rep"), F.col("row").alias("first"), F.monotonically_increasing_id().alias("no")), "keys")
+    rows = written(full.join(keys.select(F.col("first").alias("row"), "no"), "row").select(F.col("no").alias("id"), "n", "packed"), "rows")
     drop_written(full)
-    keys = keys.drop("row")
     post = written(prefixes(rows, column_sketch(rows), percent), "columns")
     common = post.groupBy("col").agg(F.count("*").alias("c")).where("c > 1").select("col")
     once = post
@@ -188,6 +192,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         good = checked(pairs, rows, percent)
         edges = written(good if edges is None else edges.union(good), "links")
         roots = components(edges)
-    by_key = keys if roots is None else keys.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("rep"))
+    by_key = keys.select("key", "rep", "first")
+    if roots is not None:
+        rooted = keys.select("key", "no").join(roots.withColumnRenamed("id", "no"), "no", "left").select("key", F.coalesce("root", "no").alias("no"))
+        by_key = rooted.join(keys.select("no", "rep", "first"), "no").select("key", "rep", "first")
     named = whole.join(by_key, "key", "left")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("component_id"))
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("component_id")]
+    if row_col:
+        out += [F.col("row").alias(row_col), F.when(F.col("n") > 0, F.col("row") == F.col("first")).otherwise(F.lit(True)).alias("first")]
+    return named.select(*out)

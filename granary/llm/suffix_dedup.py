@@ -8,7 +8,9 @@ whole anchors; neighbours in suffix order with a common prefix of LENGTH bytes f
 previous factor of each position comes from the smallest id before it. An anchor with more than HOT occurrences
 isn't gathered: its strings are aggregated by value, and those of later documents joined back.
 
-Null and empty texts have no bytes. Ids name one text each, though their rows may repeat.
+Null and empty texts have no bytes. The order of texts is that of their ids, null ids last, then of a digest of the text.
+Rows of one id with one text are one document; different texts under one id are different documents, and so is each
+row with a null id, so of equal texts under null ids alone one stays.
 Memory: one text, one block of strings.
 """
 
@@ -208,10 +210,17 @@ def _aggregated(ctx: DataFrame, kind: str) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, kept (the remaining bytes), n_bytes, n_removed, n_spans and kept_sha256."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = docs.dtypes[0][1]
-    keyed = docs.withColumn("key", F.md5("text"))
-    firsts = written(keyed.where(F.octet_length("text") >= LENGTH).groupBy("key").agg(F.min("id").alias("id")), "firsts")
-    mine = keyed.where(F.octet_length("text") >= LENGTH).join(firsts, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "key", "text")
+    out_kind, kind = docs.dtypes[0][1], "bigint"
+    # what names a document and is never null: the id as a string, or the number of a row without id
+    nulls = written(docs.where("id is null").withColumn("row", F.monotonically_increasing_id()), "no-ids")
+    docs = docs.where("id is not null").withColumn("row", F.lit(-1).cast("long")).unionByName(nulls)
+    keyed = docs.withColumn("key", F.md5("text")).withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    long = keyed.where(F.octet_length("text") >= LENGTH)
+    least = long.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "name")).alias("x")).select("key", "x.*")
+    # from here on a text goes by its number in that order
+    firsts = written(least.orderBy("none", "id", "row", "key").select("key", "name", "row", F.monotonically_increasing_id().alias("no")), "firsts")
+    same = ["name", "row", "key"]
+    mine = long.join(firsts, same).dropDuplicates(same).select(F.col("no").alias("id"), "text")
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,7 +235,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         return step
 
-    found = written(arrow_map(mine.select("id", "text"), f"hash bigint, id {kind}, at bigint", make), "anchors")
+    found = written(arrow_map(mine, f"hash bigint, id {kind}, at bigint", make), "anchors")
     shared = found.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("hash", "c")
     places = found.join(shared, "hash")
     hot = written(shared.where(F.col("c") > HOT).select("hash"), "hot")
@@ -235,9 +244,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     if hot.limit(1).count():
         spans = spans.union(_aggregated(ctx.join(hot, "hash", "left_semi"), kind))
     cuts = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    own = firsts.join(cuts, "id", "left").withColumnRenamed("key", "own")
-    both = keyed.join(own.select("id", "own", "spans"), (keyed["id"] == own["id"]) & (keyed["key"] == own["own"]), "left").select(keyed["id"], "text", "own", "spans")
-    schema = f"`{id_col}` {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    own = firsts.withColumnRenamed("no", "id").join(cuts, "id", "left").select(*same, F.col("key").alias("own"), "spans")
+    both = keyed.join(own, same, "left").select("id", "text", "own", "spans")
+    schema = f"`{id_col}` {out_kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def cut():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -83,6 +83,29 @@ def test_suffix_dedup(docs, monkeypatch, hot):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [1, 4000])
+def test_null_and_repeated_ids_keep_first_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    a, b, c, d = (t for t in corpus()[8:12])
+    data = [(None, a), (None, a), (None, b), (3, b), (4, c), (4, d), (4, c), (5, c + " " + d), (None, "x " + d)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.n_bytes, r.n_bytes - r.n_removed) for r in suffix_dedup.dedup(df).collect()), key=str)
+    n = {t: len(t) for t in (a, b, c, d)}
+    want = [(None, n[a], n[a]), (None, n[a], 0), (None, n[b], 0), (3, n[b], n[b]), (4, n[c], n[c]), (4, n[d], n[d]), (4, n[c], n[c])]
+    want += [(5, n[c] + n[d] + 1, 1), (None, n[d] + 2, 1)]  # a blank and d: in 5 too
+    assert kept == sorted(want, key=str)
+
+
+def test_components_of_null_and_repeated_ids(spark):
+    a, b, c, d = (t for t in corpus()[8:12])
+    near = lambda t: t + " end"
+    data = [(0, None, a), (1, 7, a), (2, None, near(a)), (3, None, b), (4, None, b), (5, 2, c), (6, 2, d), (7, 3, near(d)), (8, None, None)]
+    df = spark.createDataFrame(data, "n long, doc_id long, text string").repartition(3)
+    got = {r.n: (r.component_id, r.first) for r in jaccard_join.link(df, row_col="n").collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 7, 1: 7, 2: 7, 3: None, 4: None, 5: 2, 6: 2, 7: 2, 8: None}
+    assert {k for k, v in got.items() if v[1]} == {1, 3, 5, 6, 8}
+
+
 def test_viterbi_counts_agree_with_the_unigram_tokenizer():
     rng = random.Random(1)
     for _ in range(40):
