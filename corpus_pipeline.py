@@ -1,4 +1,7 @@
-"""From raw documents to tokens: five stages, each written as Parquet and read again."""
+"""From raw documents to tokens: five stages, each written as Parquet and read again.
+
+The first stage numbers the rows it keeps, and later decisions are joined back on that number: ids may be null or repeat.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +13,31 @@ from granary.llm.common import table, written
 from granary.llm.queries import KEY, byte_bpe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The number of a row; only tables that a stage wrote have it.
+ROW = "row_no"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.assess(docs).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
+    kept = quality.assess(docs, also=tuple(COLUMNS[1:])).where("kept").select(COLUMNS)
+    return kept.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names the group."""
-    first = jaccard_join.link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group: the first of the id that names the group."""
+    first = jaccard_join.link(docs, row_col=ROW).where("first").select(ROW)
+    return docs.select(*COLUMNS, ROW).join(first, ROW, "left_semi")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontamination.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(leaks, "doc_id", "left_anti")
+    leaks = decontamination.contained(docs, table(spark, sf_dir, "benchmark"), id_col=ROW).select(ROW).distinct()
+    return docs.select(*COLUMNS, ROW).join(leaks, ROW, "left_anti")
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return surrogates.replace(docs.select(COLUMNS), KEY).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return surrogates.replace(docs.select(*COLUMNS, ROW), KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, ROW)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,11 +74,12 @@ def in_bands(raw: bytes, bands: Bands, z: zstandard.ZstdCompressor) -> tuple[flo
     return (ratio if low <= ratio <= high else float("nan")), bad / max(1, len(parts))
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands | None = None) -> DataFrame:
-    """Per row: the id, counts, base_failed and kept."""
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: the id, counts, base_failed and kept, and further columns of the row."""
     bands = bands or Bands()
     kind = df.select(id_col).dtypes[0][1]
     schema = f"`{id_col}` {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
+    schema += "".join(f", `{c}` {k}" for c, k in df.select(*also).dtypes)
 
     def make():
         z = zstandard.ZstdCompressor(level=bands.level)
@@ -97,8 +98,8 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
             cols = list(zip(*rows, strict=True))
             arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.bool_()) for c in cols[5:]]
             names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+            return pa.RecordBatch.from_arrays([batch.column(0), *arrays, *batch.columns[2:]], names=[*names, *also])
 
         return step
 
-    return arrow_map(df.select(F.col(id_col), F.col(text_col).cast("string")), schema, make)
+    return arrow_map(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *also), schema, make)
