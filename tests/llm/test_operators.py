@@ -135,6 +135,26 @@ def test_surrogates(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text) and "743" not in got[1].text and re.search(r"Frau [A-Z][a-z]+a$", got[1].text)
 
 
+def test_surrogates_of_whole_names_scripts_and_phones(spark):
+    texts = [
+        "Dr. Maria Lopez came. Later Lopez and Maria left; Mrs Lopez stayed.",
+        "Mr. O'Brien met Frau von der Berg-Stein and Herr Dr. J. Weiss.",
+        "Call +33 1 23 45 67 89 or write to иван@x.org, γιωργος@x.org, 王明@x.org",
+        "Mr. Иванов",
+        "Lopez has no title here.",
+    ]
+    got = rows(surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"))
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Later (\w+) and (\w+) left; Mrs (\w+) stayed\.", got[0].text)
+    assert m and m[2] == m[3] == m[5] and m[1] == m[4] and not {"Maria", "Lopez"} & set(m.groups()) and m[2][-1] == "a"
+    assert re.fullmatch(r"Mr\. [A-Z]'[A-Z][a-z]{4}o met Frau von der [A-Z][a-z]{3}a-[A-Z][a-z]{4}a and Herr Dr\. J\. [A-Z][a-z]{4}o\.", got[1].text)
+    assert not re.search("Brien|Berg|Stein|Weiss", got[1].text)
+    phone, *mails = re.fullmatch(r"Call (\S+ \d \d\d \d\d \d\d \d\d) or write to (\S+)@x.org, (\S+)@x.org, (\S+)@x.org", got[2].text).groups()
+    assert phone.startswith("+33 ") and phone != "+33 1 23 45 67 89"
+    assert re.fullmatch("[а-я]{4}", mails[0]) and re.fullmatch("[α-ω]{7}", mails[1]) and re.fullmatch("[\u4e00-\u9fff]{2}", mails[2])
+    assert not {"иван", "γιωργος", "王明"} & set(mails) and re.fullmatch("Mr\\. [А-Я][а-я]{5}о", got[3].text)
+    assert got[4].text == texts[4] and [got[i].n_entities for i in range(5)] == [5, 4, 4, 1, 0]
+
+
 def test_surrogates_of_full_spaces_and_of_values_without_classes(spark):
     mails = [f"{c}@x.org" for c in "0123456789abcdefghijklmnopqrstuvwxyz"] + ["_@x.org", "...@x.org", "\u738b@x.org", "\u674e\u660e@x.org"]
     df = spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails * 2)], "doc_id long, text string")
