@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import zstandard
 from tokenizers import Tokenizer, models
 
 from granary.llm import bpe, decontamination, html_extract, jaccard_join, quality, queries, suffix_dedup, surrogates, token_counts, toxicity, url_filter
@@ -53,6 +54,20 @@ def test_quality_counts(docs):
         assert got[i].base_failed == (len(words) < 10 or 100 * len(inside) > 20 * len(words))
 
 
+def test_compression_bands_by_length_and_last_chunk():
+    z, rng = zstandard.ZstdCompressor(level=3), random.Random(5)
+    for share in range(100):  # 1700 bytes at a ratio below all good rows of their length
+        raw = "".join(rng.choice("abcdefghijklmnop" if rng.random() < share / 100 else "qrstuv") for _ in range(1700)).encode()
+        if 0.441 <= len(z.compress(raw)) / len(raw) <= 0.455:
+            break
+    else:
+        raise AssertionError("no such text")
+    ratio, _ = quality.in_bands(raw, quality.Bands(), z)
+    assert ratio != ratio
+    noise = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(2048))
+    assert quality.in_bands(noise + b"the same " * 200, quality.Bands(), z)[1] == 1.0
+
+
 def test_jaccard_components(docs):
     sets = {}
     for i, t in enumerate(corpus()):
