@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from granary.operators.staging import staged, unstaged
 
 #: Word characters are everything but these six.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,39 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where nothing set it, as in tests."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        set_dir = sc.getCheckpointDir()
-        if set_dir is None:
-            sc.setCheckpointDir("/tmp/checkpoints")
-            set_dir = sc.getCheckpointDir()
-        folder = set_dir
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return staged(df, name, "zstd")
 
 
-def distinct_ids(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
-    """The needed columns only; extra columns with clashing names never reach an operator."""
-    return df.select(F.col(id_col), *(F.col(c) for c in cols))
+drop_written = unstaged
 
 
 def groups(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
