@@ -1,35 +1,42 @@
 """Suffix-array dedup: bytes of earlier-seen strings are removed, the first document's copy stays.
 
-Exact copies are settled first: only the smallest id of a text goes on, later copies of LENGTH bytes or more are removed
-whole. Every string of LENGTH bytes holds an anchor, a K-byte string whose hash is the smallest of LENGTH - K + 1
-neighbours, so documents that share such a string share its anchor at the same place. Anchors of one document only are
-dropped. The strings around the other anchors are sorted as a suffix array (to LENGTH bytes) for blocks of
-whole anchors; neighbours in suffix order with a common prefix of LENGTH bytes form runs, in which the longest
-previous factor of each position comes from the smallest id before it. An anchor with more than HOT occurrences
-isn't gathered: its strings are aggregated by value, and those of later documents joined back.
+Equal texts are one document (copies of LENGTH bytes or more but the first are removed whole). Every string of
+LENGTH bytes holds an anchor, a K-byte string whose hash is the smallest of LENGTH - K + 1 neighbours, so documents
+that share such a string share its anchor at the same place. Anchors of one document only are dropped before anything is
+shuffled (blocks.shared); of the others, a chunk sends each different surrounding once.
+
+What surrounds the anchors of a block is put in suffix order, to the right from the anchor and to the left of it, with the
+common prefixes of neighbours (LCP). Strings with a common prefix of LENGTH bytes are a run in that order, and the
+longest previous factor of a place reaches LENGTH when a smaller place stands before or after it in its run: the smallest
+place of the run decides both. All others of the run are removed.
+
+An anchor with more than HOT different surroundings would make one task too large: its strings of LENGTH bytes are
+aggregated by value, with partial sums before the shuffle. Both ways compare bytes, and give the same result.
 
 Null and empty texts have no bytes. The order of texts is that of their ids, null ids last, then of a digest of the text.
 Rows of one id with one text are one document; different texts under one id are different documents, and so is each
 row with a null id, so of equal texts under null ids alone one stays.
-Memory: one text, one block of strings.
+Memory: a chunk of texts, a block of surroundings, one text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_map, mix, written
+from granary.llm import blocks
+from granary.llm.common import arrow_map, drop_written, mix, texts_of, written
+from granary.operators.staging import release
 
 LENGTH, K = 50, 16
 REACH = LENGTH - K
-#: Occurrences of an anchor beyond which it is not gathered, and contexts of a block.
-HOT, BLOCK = 4000, 6_000
+#: Surroundings of an anchor beyond which it is not gathered, and those of a block.
+HOT, BLOCK = 30_000, 20_000
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -43,12 +50,11 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text."""
-    n = len(raw)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+def anchors(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of some bytes."""
+    if len(raw) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = raw.astype(np.uint64) + np.uint64(1)
     width = 1
     while width < k:
         m = np.uint64((0x9E3779B97F4A7C15 * (2 * width + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -60,221 +66,254 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, n
     pad = np.zeros(span - 1, np.uint64)
     high = _slide(np.concatenate([pad, low, pad]), span, np.maximum)
     at = np.flatnonzero(h == high[: len(h)])
-    return at, h[at].view(np.int64)
-
-
-def _runs(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Per context and shift: does the string also start in a document with a smaller rank? ctx is padded to REACH + LENGTH bytes."""
-    n = len(ctx)
-    shifts = np.arange(REACH + 1)
-    ok = (shifts[None, :] >= REACH - left[:, None]) & (shifts[None, :] + LENGTH <= REACH + right[:, None])
-    row, shift = np.nonzero(ok)
-    out = np.zeros((n, REACH + 1), bool)
-    if not len(row):
-        return out
-    wide = np.zeros((n, REACH + LENGTH + 8), np.uint8)
-    wide[:, : REACH + LENGTH] = ctx
-    words = np.lib.stride_tricks.sliding_window_view(wide, 8, axis=1)
-    keys = []
-    for j in (0, 8, 16, 24, 32, 40, 42):
-        keys.append(words[row, shift + j].reshape(-1, 8).copy().view(">u8").ravel().astype(np.uint64))
-    order = np.lexsort((owner[row], *reversed(keys), shift, group[row]))
-    cols = [group[row][order], shift[order], *(x[order] for x in keys)]
-    first = np.ones(len(order), bool)
-    first[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-    head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    own = owner[row][order]
-    later = own > own[head]
-    out[row[order][later], shift[order][later]] = True
+    return at, h[at]
+
+
+def _laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as bytes with LENGTH zeros around each, and where each begins and ends. Strings across texts add anchors, but hide none."""
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    gap = bytes(LENGTH)
+    raw = np.frombuffer(gap + gap.join(raws) + gap, np.uint8)
+    size = np.array([len(r) for r in raws], np.int64)
+    begin = np.cumsum(size + LENGTH) - size
+    return raw, begin, begin + size
+
+
+def _places(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in raw, hash) of the anchors inside texts."""
+    at, h = anchors(raw)
+    text = np.searchsorted(begin, at, "right") - 1
+    inside = (text >= 0) & (at + K <= end[text])
+    return text[inside], at[inside], h[inside]
+
+
+def anchor_hashes(texts: list[str]) -> list[np.ndarray]:
+    text, _, h = _places(*_laid_out(texts))
+    return [np.unique(x) for x in np.split(h, np.searchsorted(text, np.arange(1, len(texts))))]
+
+
+_AROUND = "hash bigint, no bigint, rank bigint, lo bigint, before int, after int, around binary"
+_NAMES = [c.split()[0] for c in _AROUND.split(", ")]
+
+
+def _alike(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by surroundings and then rank, and the number of each one's kind in that order."""
+    as_text = np.ascontiguousarray(around).view(f"S{around.shape[1]}").ravel()
+    order = np.lexsort((rank, after, before, as_text))
+    new = np.ones(len(order), bool)
+    for x in (as_text, before, after):
+        new[1:] &= x[order][1:] == x[order][:-1]
+    new[1:] = ~new[1:]
+    return order, np.cumsum(new) - 1
+
+
+def _surroundings(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """What is around the shared anchors of each chunk, each kind from its first document; rows without it are removed ranges of others."""
+
+    def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(blocks.unpacked(k) for k in right["keys"].to_pylist())]))
+        texts, nos, ranks = texts_of(left["text"]), left["no"].to_numpy(), left["rank"].to_numpy()
+        held = []
+        for lo, hi in blocks.spans(texts) if len(keys) else ():
+            raw, begin, end = _laid_out(texts[lo:hi])
+            text, at, h = _places(raw, begin, end)
+            cut = blocks.cut(h)
+            hit = keys[np.minimum(np.searchsorted(keys, cut), len(keys) - 1)] == cut
+            text, at, h = text[hit], at[hit], h[hit]
+            before, after = np.minimum(at - begin[text], REACH), np.minimum(end[text] - at, LENGTH)
+            around = raw[at[:, None] + np.arange(-REACH, LENGTH)]
+            # of neighbour texts closer than the gap nothing may show
+            held.append((h.view(np.int64), nos[lo:hi][text], ranks[lo:hi][text], at - begin[text] - before, before, after, around))
+        if not held or not sum(len(x[0]) for x in held):
+            return pa.table({n: pa.array([], t) for n, t in zip(_NAMES, _TYPES, strict=True)})
+        h, no, rank, lo, before, after, around = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, kind = _alike(around, before, after, rank)
+        head = np.flatnonzero(np.diff(kind, prepend=-1))
+        mine = rank[order] == rank[order][head][kind]
+        cols = [h, no, rank, lo, before, after]
+        one = order[mine]
+        rest = order[~mine]
+        both = np.concatenate([one, rest])
+        shown = [around[i].tobytes() for i in one.tolist()] + [None] * len(rest)
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(_NAMES, [*(c[both] for c in cols), shown], _TYPES, strict=True)})
+
+    both = texts.select("chunk", "no", "rank", "text").groupBy("chunk").cogroup(found.groupBy("chunk"))
+    return both.applyInArrow(chunk, _AROUND)
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _classes(part: np.ndarray) -> list[np.ndarray]:
+    """For each length up to the width: the number of each row's class of equal prefixes, by suffix order and LCP."""
+    width = part.shape[1]
+    wide = np.zeros((len(part), -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = part
+    words = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort(tuple(words[:, j] for j in range(words.shape[1] - 1, -1, -1)))
+    ahead = wide[order]
+    lcp = np.argmax(np.concatenate([ahead[1:] != ahead[:-1], np.ones((len(part) - 1, 1), bool)], axis=1), axis=1) if len(part) > 1 else np.zeros(0, np.int64)
+    out = []
+    for length in range(width + 1):
+        c = np.empty(len(part), np.int64)
+        c[order] = np.concatenate([[0], np.cumsum(lcp < length)])
+        out.append(c)
     return out
 
 
-def _covered(found: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Removed ranges of each context, in places of its text."""
-    out: list[list[tuple[int, int]]] = [[] for _ in at]
-    for i in np.flatnonzero(found.any(1)).tolist():
-        s = np.flatnonzero(found[i])
-        cut = np.flatnonzero(np.diff(s) > LENGTH) + 1
-        for part in np.split(s, cut):
-            base = int(at[i]) - REACH
-            out[i].append((base + int(part[0]), base + int(part[-1]) + LENGTH))
+def _later(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Per surrounding and start in it: has its string of LENGTH bytes a smaller place in its run? Rows must come by rank."""
+    out = np.zeros((len(around), REACH + 1), bool)
+    # classes of bytes to the left, from the anchor outwards, and to the right
+    lefts, rights = _classes(np.ascontiguousarray(around[:, REACH - 1 :: -1])), _classes(np.ascontiguousarray(around[:, REACH:]))
+    for start in range(REACH + 1):
+        back, ahead = REACH - start, LENGTH - REACH + start
+        rows = np.flatnonzero((before >= back) & (after >= ahead))
+        if len(rows) < 2:
+            continue
+        string = lefts[back][rows] * len(around) + rights[ahead][rows]
+        order = np.argsort(string, kind="stable")
+        new = np.concatenate([[True], np.diff(string[order]) != 0])
+        least = rank[rows][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        out[rows[order], start] = rank[rows][order] > least
     return out
 
 
-_CTX = "hash bigint, id {k}, at bigint, left int, right int, ctx binary"
-
-
-def _contexts(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
-    """(hash, id, at, left, right, ctx) of the shared anchors of each text."""
-
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            marks = b.column(2)
-            flat = marks.flatten()
-            h, p = flat.field(0), flat.field(1).to_numpy()
-            rows = np.repeat(np.arange(b.num_rows), np.diff(marks.offsets.to_numpy()))
-            left, right, ctx = [], [], []
-            last, raw = -1, b""
-            for i, a in zip(rows.tolist(), p.tolist(), strict=True):
-                if i != last:
-                    last, raw = i, b.column(1)[i].as_py().encode("utf-8", "surrogatepass")
-                lo, hi = max(0, a - REACH), min(len(raw), a + LENGTH)
-                left.append(a - lo)
-                right.append(hi - a)
-                ctx.append(bytes(REACH - (a - lo)) + raw[lo:hi] + bytes(LENGTH - (hi - a)))
-            cols = [h, b.column(0).take(pa.array(rows, pa.int64())), pa.array(p, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(ctx, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["hash", "id", "at", "left", "right", "ctx"])
-
-        return step
-
-    marked = places.groupBy("id").agg(F.collect_list(F.struct("hash", "at")).alias("marks"))
-    return arrow_map(texts.join(marked, "id").select("id", "text", "marks"), _CTX.format(k=kind), make, 500)
-
-
-def _gathered(ctx: DataFrame, kind: str) -> DataFrame:
-    """(id, lo, hi) of the contexts, by the suffix order of blocks of whole anchors."""
-    schema = f"id {kind}, lo bigint, hi bigint"
-
-    def run(batches):
+def _ranges(t: pa.Table) -> pa.RecordBatch:
+    """(no, lo, hi) of what the documents of a block of whole anchors lose."""
+    h, no, rank, lo, before, after = (t[c].to_numpy() for c in _NAMES[:-1])
+    around = np.frombuffer(b"".join(t["around"].to_pylist()), np.uint8).reshape(-1, REACH + LENGTH)
+    order, kind = _alike(around, before, after, rank)
+    head = order[np.flatnonzero(np.diff(kind, prepend=-1))]
+    # equal surroundings: all but the first document's are covered whole, and one of each is put in order
+    whole = order[rank[order] > rank[head][kind]]
+    first, first_kind = order[rank[order] == rank[head][kind]], kind[rank[order] == rank[head][kind]]
+    _, group, size = np.unique(h[head], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(size[group] > 1)
+    some = some[np.argsort(rank[head[some]], kind="stable")]
+    found = np.zeros((len(head), REACH + 1), bool)
+    found[some] = _later(around[head[some]], before[head[some]], after[head[some]], rank[head[some]])
+    # strings that start less than LENGTH apart cover what is between them
+    hit = found[first_kind].any(1)
+    first, found = first[hit], found[first_kind[hit]]
+    base = lo[first] + before[first] - REACH
+    low, high = base + found.argmax(1), base + REACH - found[:, ::-1].argmax(1) + LENGTH
+    cols = (np.concatenate(x) for x in ((no[whole], no[first]), (lo[whole], low), (lo[whole] + before[whole] + after[whole], high)))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["no", "lo", "hi"])
+
+
+def _gathered(around: DataFrame) -> DataFrame:
+    """(no, lo, hi) by blocks of whole anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            ctx, hashes = t["ctx"].to_pylist(), t["hash"].to_numpy()
-            left, right, at = (t[c].to_numpy() for c in ("left", "right", "at"))
-            ids = t["id"].combine_chunks()
-            owner = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            # equal contexts first: all but the first owner's are covered whole, and one of each is sorted
-            same: dict[tuple, int] = {}
-            kind_of = np.fromiter((same.setdefault(k, len(same)) for k in zip(hashes.tolist(), left.tolist(), right.tolist(), ctx, strict=True)), np.int64, len(ctx))
-            low = np.full(len(same), np.iinfo(np.int64).max)
-            np.minimum.at(low, kind_of, owner)
-            mine = owner == low[kind_of]
-            long = left + right >= LENGTH
-            rows = [(i, int(at[i] - left[i]), int(at[i] + right[i])) for i in np.flatnonzero(~mine & long).tolist()]
-            one = np.unique(kind_of, return_index=True)[1]
-            _, group, size = np.unique(hashes[one], return_inverse=True, return_counts=True)
-            one = one[size[group] > 1]
-            if len(one):
-                joined = np.frombuffer(b"".join(ctx[i] for i in one.tolist()), np.uint8).reshape(-1, REACH + LENGTH)
-                found = np.zeros((len(same), REACH + 1), bool)
-                found[kind_of[one]] = _runs(joined, left[one], right[one], hashes[one], low[kind_of[one]])
-                sel = np.flatnonzero(mine & found.any(1)[kind_of])
-                rows += [(int(i), lo, hi) for i, part in zip(sel, _covered(found[kind_of[sel]], at[sel]), strict=True) for lo, hi in part]
-            where = pa.array([r[0] for r in rows], pa.int64())
-            return pa.RecordBatch.from_arrays([ids.take(where), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "lo", "hi"])
-
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) < BLOCK:
                 continue
             t = pa.Table.from_batches(held)
             h = t["hash"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
-            if cut:
-                yield done(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-        if held:
-            t = pa.Table.from_batches(held)
-            if t.num_rows:
-                yield done(t)
+            last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
+            if last:
+                yield _ranges(t.slice(0, last))
+            held = t.slice(last).to_batches()
+        if sum(x.num_rows for x in held):
+            yield _ranges(pa.Table.from_batches(held))
 
-    return ctx.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, schema)
+    return around.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "no bigint, lo bigint, hi bigint")
 
 
-def _aggregated(ctx: DataFrame, kind: str) -> DataFrame:
-    """The same for anchors of many occurrences: each string by value, its smallest id found by aggregation."""
+def _aggregated(around: DataFrame) -> DataFrame:
+    """The same for anchors of many surroundings: each string by value, its first document found by aggregation."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows, lo, val = [], [], []
-            for i, (a, left, right, c) in enumerate(zip(*(b.column(j).to_pylist() for j in (2, 3, 4, 5)), strict=True)):
+            for i, (a, left, right, c) in enumerate(zip(*(b.column(j).to_pylist() for j in (3, 4, 5, 6)), strict=True)):
                 for s in range(REACH - left, REACH + right - LENGTH + 1):
                     rows.append(i)
-                    lo.append(a - REACH + s)
-                    val.append(xxhash.xxh3_128_digest(c[s : s + LENGTH]))
-            return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows, pa.int64())), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["id", "lo", "val"])
+                    lo.append(a + left - REACH + s)
+                    val.append(c[s : s + LENGTH])
+            where = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(1).take(where), b.column(2).take(where), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["no", "rank", "lo", "val"])
 
         return step
 
-    whole = ["hash", "left", "right", "ctx"]
-    low = ctx.groupBy(*whole).agg(F.min("id").alias("first"))
-    ctx = written(ctx.join(low, whole).select(*whole, "id", "at", "first"), "owners")
-    # of equal contexts, all but the first owner's are covered whole; the first owner's go on string by string
-    copies = ctx.where(f"id > first and left + right >= {LENGTH}").select("id", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("right")).alias("hi"))
-    own = ctx.where("id = first").select("hash", "id", "at", "left", "right", "ctx")
-    each = written(arrow_map(own, f"id {kind}, lo bigint, val binary", make, 1000).distinct(), "strings")
-    least = each.groupBy("val").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("val", "first")
-    return copies.union(each.join(least, "val").where("id > first").select("id", "lo", (F.col("lo") + LENGTH).alias("hi")))
-
-
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, kept (the remaining bytes), n_bytes, n_removed, n_spans and kept_sha256."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out_kind, kind = docs.dtypes[0][1], "bigint"
-    # what names a document and is never null: the id as a string, or the number of a row without id
-    nulls = written(docs.where("id is null").withColumn("row", F.monotonically_increasing_id()), "no-ids")
-    docs = docs.where("id is not null").withColumn("row", F.lit(-1).cast("long")).unionByName(nulls)
-    keyed = docs.withColumn("key", F.md5("text")).withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    long = keyed.where(F.octet_length("text") >= LENGTH)
-    least = long.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "name")).alias("x")).select("key", "x.*")
-    # from here on a text goes by its number in that order
-    firsts = written(least.orderBy("none", "id", "row", "key").select("key", "name", "row", F.monotonically_increasing_id().alias("no")), "firsts")
-    same = ["name", "row", "key"]
-    mine = long.join(firsts, same).dropDuplicates(same).select(F.col("no").alias("id"), "text")
+    kind = ["before", "after", "around"]
+    around = around.join(around.groupBy(*kind).agg(F.min("rank").alias("first")), kind)
+    end = F.col("lo") + F.col("before") + F.col("after")
+    copies = around.where("rank > first").select("no", "lo", end.alias("hi"))
+    each = written(arrow_map(around.where("rank = first").select(*_NAMES), "no bigint, rank bigint, lo bigint, val binary", make, 1000).distinct(), "strings")
+    least = each.groupBy("val").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first != last").select("val", "first")
+    return copies.union(each.join(least, "val").where("rank > first").select("no", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows, at, h = [], [], []
-            for i, t in enumerate(b.column(1)):
-                p, x = anchors(t.as_py().encode("utf-8", "surrogatepass"))
-                rows.append(np.full(len(p), i, np.int64))
-                at.append(p)
-                h.append(x)
-            where = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), b.column(0).take(where), pa.array(np.concatenate(at))], names=["hash", "id", "at"])
 
-        return step
+def _remaining(both: DataFrame, keep: bool) -> DataFrame:
+    """(digest, kept, n_removed, n_spans, kept_sha256) of (digest, spans, text)."""
 
-    found = written(arrow_map(mine, f"hash bigint, id {kind}, at bigint", make), "anchors")
-    shared = found.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("hash", "c")
-    places = found.join(shared, "hash")
-    hot = written(shared.where(F.col("c") > HOT).select("hash"), "hot")
-    ctx = written(_contexts(mine, places.select("id", "hash", "at"), kind), "contexts")
-    spans = _gathered(ctx.join(hot, "hash", "left_anti"), kind)
-    if hot.limit(1).count():
-        spans = spans.union(_aggregated(ctx.join(hot, "hash", "left_semi"), kind))
-    cuts = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    own = firsts.withColumnRenamed("no", "id").join(cuts, "id", "left").select(*same, F.col("key").alias("own"), "spans")
-    both = keyed.join(own, same, "left").select("id", "text", "own", "spans")
-    schema = f"`{id_col}` {out_kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-
-    def cut():
+    def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for t, own, spans in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            for spans, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
-                if own.as_py() is None:
-                    where = [(0, len(raw))] if len(raw) >= LENGTH else []
-                else:
-                    where = sorted((s["lo"], s["hi"]) for s in spans.as_py() or [])
                 kept, end, runs, removed = [], 0, 0, 0
                 last = -1
-                for lo, hi in where:
-                    if lo > last:
-                        runs += 1
+                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+                    runs += lo > last
                     if lo > end:
                         kept.append(raw[end:lo])
                     if hi > end:
                         removed += hi - max(lo, end)
                         end = hi
                     last = max(last, hi)
-                kept.append(raw[end:])
-                left = b"".join(kept)
-                out.append((left, len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
+                left = b"".join([*kept, raw[end:]])
+                out.append((left if keep else None, removed, runs, hashlib.sha256(left).hexdigest()))
             c = list(zip(*out, strict=True))
-            cols = [b.column(0), pa.array(c[0], pa.binary()), *(pa.array(x, pa.int64()) for x in c[1:4]), pa.array(c[4], pa.string())]
-            return pa.RecordBatch.from_arrays(cols, names=[id_col, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = [b.column(0), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())]
+            return pa.RecordBatch.from_arrays(cols, names=["digest", "kept", "n_removed", "n_spans", "kept_sha256"])
 
         return step
 
-    return arrow_map(both, schema, cut)
+    return arrow_map(both.select("digest", "spans", "text"), "digest string, kept binary, n_removed bigint, n_spans bigint, kept_sha256 string", make, 500)
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Per row: id, kept (the remaining bytes; null unless asked for), n_bytes, n_removed, n_spans and kept_sha256."""
+    spark = df.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.octet_length(text).cast("long")
+    ids = df.select(F.col(id_col).alias("id"), size.alias("n_bytes"), F.md5(text).alias("digest"), F.when(size < LENGTH, text).alias("short"), F.monotonically_increasing_id().alias("row"))
+    # what names a document and is never null: the id as a string, or the number of a row without id
+    named = {"row": F.when(F.col("id").isNull(), F.col("row")).otherwise(F.lit(-1)), "name": F.coalesce(F.col("id").cast("string"), F.lit(""))}
+    rows = written(ids.withColumns(named), "rows")
+    long = rows.where(F.col("n_bytes") >= LENGTH)
+    least = long.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "name")).alias("x")).select("digest", "x.*")
+    firsts = written(least.orderBy("none", "id", "row", "digest").select("digest", "name", "row", F.monotonically_increasing_id().alias("rank")), "firsts")
+    texts = blocks.chunked(blocks.unique_texts(df.where(size >= LENGTH), text).join(firsts.select("digest", "rank"), "digest"), "texts")
+    release(spark)
+    found = written(blocks.shared(texts, anchor_hashes), "shared")
+    release(spark)
+    around = written(_surroundings(texts, found), "surroundings")
+    drop_written(found)
+    release(spark)
+    whole = around.where("around is not null")
+    hot = written(whole.groupBy("hash").count().where(F.col("count") > HOT).select("hash"), "hot")
+    spans = _gathered(whole.join(hot, "hash", "left_anti").select(*_NAMES))
+    if hot.limit(1).count():
+        spans = spans.union(_aggregated(whole.join(hot, "hash", "left_semi").select(*_NAMES)))
+    others = around.where("around is null").select("no", "lo", (F.col("lo") + F.col("before") + F.col("after")).alias("hi"))
+    spans = written(spans.union(others), "spans")
+    drop_written(around)
+    release(spark)
+    cuts = spans.distinct().groupBy("no").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    made = written(_remaining(texts.join(cuts, "no", "left"), keep), "remaining")
+    drop_written(texts, spans)
+    release(spark)
+    out = [F.col("id").alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    same = ["name", "row", "digest"]
+    own = long.join(firsts, same).join(made, "digest").select(out)
+    gone = F.encode(F.lit(""), "UTF-8")
+    kept = lambda x: x if keep else F.lit(None).cast("binary")
+    copies = long.join(firsts, same, "left_anti").withColumns({"kept": kept(gone), "n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(gone, 256)}).select(out)
+    short = rows.where(F.col("n_bytes") < LENGTH).withColumns({"kept": kept(F.encode("short", "UTF-8")), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(F.encode("short", "UTF-8"), 256)}).select(out)
+    return own.unionByName(copies).unionByName(short)

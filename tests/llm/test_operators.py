@@ -83,7 +83,7 @@ def test_jaccard_components(docs):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), root[i]) for i in sets}
 
 
-@pytest.mark.parametrize("hot", [2, 4000])
+@pytest.mark.parametrize("hot", [2, 30000])
 def test_suffix_dedup(docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got, seen = rows(suffix_dedup.dedup(docs)), {}
@@ -98,7 +98,7 @@ def test_suffix_dedup(docs, monkeypatch, hot):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("hot", [1, 4000])
+@pytest.mark.parametrize("hot", [1, 30000])
 def test_null_and_repeated_ids_keep_first_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     a, b, c, d = (t for t in corpus()[8:12])
