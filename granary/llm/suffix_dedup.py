@@ -10,7 +10,7 @@ common prefixes of neighbours (LCP). Strings with a common prefix of LENGTH byte
 longest previous factor of a place reaches LENGTH when a smaller place stands before or after it in its run: the smallest
 place of the run decides both. All others of the run are removed.
 
-An anchor with more than HOT different surroundings would make one task too large: its strings of LENGTH bytes are
+An anchor of more than HOT documents could make one task too large: its strings of LENGTH bytes are
 aggregated by value, with partial sums before the shuffle. Both ways compare bytes, and give the same result.
 
 Null and empty texts have no bytes. The order of texts is that of their ids, null ids last, then of a digest of the text.
@@ -22,11 +22,11 @@ Memory: a chunk of texts, a block of surroundings, one text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import blocks
@@ -35,7 +35,7 @@ from granary.operators.staging import release
 
 LENGTH, K = 50, 16
 REACH = LENGTH - K
-#: Surroundings of an anchor beyond which it is not gathered, and those of a block.
+#: Documents of an anchor beyond which it is not gathered, and surroundings of a block.
 HOT, BLOCK = 30_000, 20_000
 
 
@@ -92,8 +92,39 @@ def anchor_hashes(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, np.searchsorted(text, np.arange(1, len(texts))))]
 
 
-_AROUND = "hash bigint, no bigint, rank bigint, lo bigint, before int, after int, around binary"
+#: Blobs of the surroundings in a range of anchors; else one surrounding of a frequent anchor, or a removed range (lo, hi).
+_AROUND = "part bigint, blob binary, no bigint, rank bigint, lo bigint, hi bigint, before int, around binary"
 _NAMES = [c.split()[0] for c in _AROUND.split(", ")]
+_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+#: hash, no, rank, lo, before, after and the bytes around of some anchors.
+Rows = tuple[np.ndarray, ...]
+
+
+def _to_blob(rows: Rows) -> bytes:
+    """Compressed, byte planes first: what is constant or small in a column costs nothing."""
+    planes = [np.ascontiguousarray(c.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in rows[:6]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, rows[6].tobytes()]))
+
+
+def _from_blob(blob: bytes) -> Rows:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = len(raw) // (48 + REACH + LENGTH)
+    columns = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(np.int64).ravel() for i in range(6)]
+    return (*columns, raw[48 * n :].reshape(n, REACH + LENGTH))
+
+
+def _merged(no: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each document that touch or overlap as one."""
+    if not len(no):
+        return no, lo, hi
+    order = np.lexsort((lo, no))
+    no, lo, hi = no[order], lo[order], hi[order]
+    doc = np.cumsum(np.diff(no, prepend=no[0]) != 0)
+    wide = int(hi.max()) + 1
+    end = np.maximum.accumulate(hi + doc * wide)
+    start = np.flatnonzero(np.concatenate([[True], (lo + doc * wide)[1:] > end[:-1]]))
+    return no[start], lo[start], np.maximum.reduceat(hi, start)
 
 
 def _alike(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,43 +138,45 @@ def _alike(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.n
     return order, np.cumsum(new) - 1
 
 
-def _surroundings(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """What is around the shared anchors of each chunk, each kind from its first document; rows without it are removed ranges of others."""
+def _surroundings(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """What is around the shared anchors of each chunk, each kind from its first document, and the ranges the others lose."""
+    hot = HOT
 
     def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(blocks.unpacked(k) for k in right["keys"].to_pylist())]))
+        keys = np.concatenate([np.zeros(0, np.uint64), *(blocks.unpacked(k) for k in right["keys"].to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(c, np.int32) for c in right["counts"].to_pylist())])
+        keys, at = np.unique(keys, return_index=True)
+        counts = counts[at]
         texts, nos, ranks = texts_of(left["text"]), left["no"].to_numpy(), left["rank"].to_numpy()
         held = []
         for lo, hi in blocks.spans(texts) if len(keys) else ():
             raw, begin, end = _laid_out(texts[lo:hi])
             text, at, h = _places(raw, begin, end)
-            cut = blocks.cut(h)
-            hit = keys[np.minimum(np.searchsorted(keys, cut), len(keys) - 1)] == cut
-            text, at, h = text[hit], at[hit], h[hit]
+            key = np.minimum(np.searchsorted(keys, blocks.cut(h)), len(keys) - 1)
+            hit = keys[key] == blocks.cut(h)
+            text, at, h, key = text[hit], at[hit], h[hit], key[hit]
             before, after = np.minimum(at - begin[text], REACH), np.minimum(end[text] - at, LENGTH)
-            around = raw[at[:, None] + np.arange(-REACH, LENGTH)]
-            # of neighbour texts closer than the gap nothing may show
-            held.append((h.view(np.int64), nos[lo:hi][text], ranks[lo:hi][text], at - begin[text] - before, before, after, around))
-        if not held or not sum(len(x[0]) for x in held):
-            return pa.table({n: pa.array([], t) for n, t in zip(_NAMES, _TYPES, strict=True)})
-        h, no, rank, lo, before, after, around = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, kind = _alike(around, before, after, rank)
-        head = np.flatnonzero(np.diff(kind, prepend=-1))
-        mine = rank[order] == rank[order][head][kind]
-        cols = [h, no, rank, lo, before, after]
-        one = order[mine]
-        rest = order[~mine]
-        both = np.concatenate([one, rest])
-        shown = [around[i].tobytes() for i in one.tolist()] + [None] * len(rest)
-        return pa.table({n: pa.array(v, t) for n, v, t in zip(_NAMES, [*(c[both] for c in cols), shown], _TYPES, strict=True)})
+            held.append((h, nos[lo:hi][text], ranks[lo:hi][text], at - begin[text] - before, before, after, raw[at[:, None] + np.arange(-REACH, LENGTH)], counts[key] > hot))
+        out = []
+        if sum(len(x[0]) for x in held):
+            *rows, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            no, rank, lo, before, after, around = rows[1:]
+            order, kind = _alike(around, before, after, rank)
+            mine = rank[order] == rank[order][np.flatnonzero(np.diff(kind, prepend=-1))][kind]
+            gone, one = order[~mine], order[mine]
+            out += [dict(zip(("no", "lo", "hi"), x, strict=True)) for x in zip(*(c.tolist() for c in _merged(no[gone], lo[gone], (lo + before + after)[gone])), strict=True)]
+            out += [{"no": int(no[i]), "rank": int(rank[i]), "lo": int(lo[i]), "hi": int(lo[i] + before[i] + after[i]), "before": int(before[i]), "around": around[i].tobytes()} for i in one[many[one]].tolist()]
+            one = one[~many[one]]
+            one = one[np.argsort(rows[0][one])]
+            part = (blocks.cut(rows[0][one]).astype(np.float64) * (parts / 2.0**blocks.BITS)).astype(np.int64)
+            edge = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(one)]
+            out += [{"part": int(part[i]), "blob": _to_blob(tuple(c[one[i:j]] for c in rows))} for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.Table.from_pylist(out, pa.schema(list(zip(_NAMES, _TYPES, strict=True))))
 
     both = texts.select("chunk", "no", "rank", "text").groupBy("chunk").cogroup(found.groupBy("chunk"))
     return both.applyInArrow(chunk, _AROUND)
 
 
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-
 def _classes(part: np.ndarray) -> list[np.ndarray]:
     """For each length up to the width: the number of each row's class of equal prefixes, by suffix order and LCP."""
     width = part.shape[1]
@@ -179,10 +212,9 @@ def _later(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.n
     return out
 
 
-def _ranges(t: pa.Table) -> pa.RecordBatch:
+def _ranges(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(no, lo, hi) of what the documents of a block of whole anchors lose."""
-    h, no, rank, lo, before, after = (t[c].to_numpy() for c in _NAMES[:-1])
-    around = np.frombuffer(b"".join(t["around"].to_pylist()), np.uint8).reshape(-1, REACH + LENGTH)
+    h, no, rank, lo, before, after, around = rows
     order, kind = _alike(around, before, after, rank)
     head = order[np.flatnonzero(np.diff(kind, prepend=-1))]
     # equal surroundings: all but the first document's are covered whole, and one of each is put in order
@@ -198,52 +230,45 @@ def _ranges(t: pa.Table) -> pa.RecordBatch:
     first, found = first[hit], found[first_kind[hit]]
     base = lo[first] + before[first] - REACH
     low, high = base + found.argmax(1), base + REACH - found[:, ::-1].argmax(1) + LENGTH
-    cols = (np.concatenate(x) for x in ((no[whole], no[first]), (lo[whole], low), (lo[whole] + before[whole] + after[whole], high)))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["no", "lo", "hi"])
+    return tuple(np.concatenate(x) for x in ((no[whole], no[first]), (lo[whole], low), ((lo + before + after)[whole], high)))
 
 
 def _gathered(around: DataFrame) -> DataFrame:
     """(no, lo, hi) by blocks of whole anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) < BLOCK:
-                continue
-            t = pa.Table.from_batches(held)
-            h = t["hash"].to_numpy()
-            last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
-            if last:
-                yield _ranges(t.slice(0, last))
-            held = t.slice(last).to_batches()
-        if sum(x.num_rows for x in held):
-            yield _ranges(pa.Table.from_batches(held))
+    def part(table: pa.Table) -> pa.Table:
+        rows = tuple(np.concatenate(c) for c in zip(*(_from_blob(x) for x in table["blob"].to_pylist()), strict=True))
+        order = np.argsort(rows[0], kind="stable")
+        new = np.flatnonzero(np.diff(rows[0][order], prepend=rows[0][order][:1] - 1))
+        # the first anchor of each block
+        cut = new[np.flatnonzero(np.diff(new // BLOCK, prepend=-1))].tolist()
+        found = [_ranges(tuple(c[order[i:j]] for c in rows)) for i, j in zip(cut, [*cut[1:], len(order)], strict=True)]
+        return pa.table(dict(zip(("no", "lo", "hi"), _merged(*(np.concatenate(x) for x in zip(*found, strict=True))), strict=True)))
 
-    return around.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "no bigint, lo bigint, hi bigint")
+    return around.groupBy("part").applyInArrow(part, "no bigint, lo bigint, hi bigint")
 
 
 def _aggregated(around: DataFrame) -> DataFrame:
-    """The same for anchors of many surroundings: each string by value, its first document found by aggregation."""
+    """The same for anchors of many documents: each string by value, its first document found by aggregation."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows, lo, val = [], [], []
-            for i, (a, left, right, c) in enumerate(zip(*(b.column(j).to_pylist() for j in (3, 4, 5, 6)), strict=True)):
-                for s in range(REACH - left, REACH + right - LENGTH + 1):
+            for i, (a, end, left, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True)):
+                for s in range(REACH - left, REACH - left + end - a - LENGTH + 1):
                     rows.append(i)
                     lo.append(a + left - REACH + s)
                     val.append(c[s : s + LENGTH])
             where = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(1).take(where), b.column(2).take(where), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["no", "rank", "lo", "val"])
+            return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["no", "rank", "lo", "val"])
 
         return step
 
-    kind = ["before", "after", "around"]
-    around = around.join(around.groupBy(*kind).agg(F.min("rank").alias("first")), kind)
-    end = F.col("lo") + F.col("before") + F.col("after")
-    copies = around.where("rank > first").select("no", "lo", end.alias("hi"))
-    each = written(arrow_map(around.where("rank = first").select(*_NAMES), "no bigint, rank bigint, lo bigint, val binary", make, 1000).distinct(), "strings")
+    kind = ["before", F.col("hi") - F.col("lo"), "around"]
+    first = F.min("rank").over(Window.partitionBy(*kind))
+    around = written(around.withColumn("first", first), "frequent")
+    copies = around.where("rank > first").select("no", "lo", "hi")
+    each = written(arrow_map(around.where("rank = first").select("no", "rank", "lo", "hi", "before", "around"), "no bigint, rank bigint, lo bigint, val binary", make, 1000).distinct(), "strings")
     least = each.groupBy("val").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first != last").select("val", "first")
     return copies.union(each.join(least, "val").where("rank > first").select("no", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
@@ -293,15 +318,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     release(spark)
     found = written(blocks.shared(texts, anchor_hashes), "shared")
     release(spark)
-    around = written(_surroundings(texts, found), "surroundings")
+    around = written(_surroundings(texts, found, blocks.ranges(texts)), "surroundings")
     drop_written(found)
     release(spark)
-    whole = around.where("around is not null")
-    hot = written(whole.groupBy("hash").count().where(F.col("count") > HOT).select("hash"), "hot")
-    spans = _gathered(whole.join(hot, "hash", "left_anti").select(*_NAMES))
-    if hot.limit(1).count():
-        spans = spans.union(_aggregated(whole.join(hot, "hash", "left_semi").select(*_NAMES)))
-    others = around.where("around is null").select("no", "lo", (F.col("lo") + F.col("before") + F.col("after")).alias("hi"))
+    spans = _gathered(around.where("part is not null").select("part", "blob"))
+    frequent = around.where("around is not null")
+    if frequent.limit(1).count():
+        spans = spans.union(_aggregated(frequent.select("no", "rank", "lo", "hi", "before", "around")))
+    others = around.where("part is null and around is null").select("no", "lo", "hi")
     spans = written(spans.union(others), "spans")
     drop_written(around)
     release(spark)
