@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import texts_of, written
 
 #: Bytes of text in a chunk, and bytes of text whose keys make a range.
-CHUNK, RANGE = 8_000_000, 16_000_000
+CHUNK, RANGE = 3_000_000, 16_000_000
 #: Bytes of text whose keys are computed at a time.
 GROUP = 1_000_000
 BITS = 48

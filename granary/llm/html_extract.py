@@ -65,9 +65,24 @@ class _Tree(HTMLParser):
         self.n_hidden = 0
         self.nodes = [Node("root", -1)]
         self.open: list[tuple[str, int]] = [("root", 0)]
+        #: Where each tag stands in open, and the nodes in open: found without a walk over open elements.
+        self.where: dict[str, list[int]] = {"root": [0]}
+        self.parents = [0]
         self.segment = -1
         self.hidden = self.links = 0
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind is a comment
+            return self.parse_bogus_comment(i)
+
+    def _push(self, tag, at):
+        self.where.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, at))
+        if at >= 0:
+            self.parents.append(at)
+
     def handle_starttag(self, tag, attrs):
         if self.open[-1] == ("head", -1) and tag not in IN_HEAD:
             self._close("head")
@@ -80,7 +95,7 @@ class _Tree(HTMLParser):
         if tag in HIDDEN:
             if tag in ("button", "select"):
                 self._close(tag, SCOPES)
-            self.open.append((tag, -1))
+            self._push(tag, -1)
             self.hidden += 1
             self.numbers.append(self.n_hidden)
             if tag not in RECOVERS:
@@ -88,7 +103,7 @@ class _Tree(HTMLParser):
             self.n_hidden += 1
             return
         if tag in INLINE:
-            self.open.append((tag, -2))
+            self._push(tag, -2)
             self.links += tag == "a"
             return
         if tag in BLOCKS and not self.unclosed.isdisjoint(self.numbers):
@@ -101,14 +116,14 @@ class _Tree(HTMLParser):
                 self._close(t, SCOPES - {"table"} if t in ("td", "th") else SCOPES)
         self.segment = -1
         if self.hidden:
-            self.open.append((tag, -3))
+            self._push(tag, -3)
             return
-        parent = next(at for _, at in reversed(self.open) if at >= 0)
+        parent = self.parents[-1]
         a = {k: v or "" for k, v in attrs}
         names = tuple(x.lower() for k in ("class", "id", "role") for x in _TOKEN.findall(a.get(k, "")))
         label = int(a["data-label"]) if a.get("data-label") in ("0", "1") else None
         self.nodes.append(Node(tag, parent, names, label))
-        self.open.append((tag, len(self.nodes) - 1))
+        self._push(tag, len(self.nodes) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -120,19 +135,18 @@ class _Tree(HTMLParser):
         for t, at in self.open[k:]:
             self.hidden -= at == -1
             self.links -= at == -2 and t == "a"
+            self.where[t].pop()
             if at >= 0:
                 self.segment = -1
+                self.parents.pop()
         gone, self.numbers = self.numbers[self.hidden :], self.numbers[: self.hidden]
         self.missed.update(gone[own and self.open[k][1] == -1 :])
         del self.open[k:]
 
     def _close(self, tag, stop=frozenset()):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                self._cut(k, True)
-                return
-            if self.open[k][0] in stop:
-                return
+        k = (self.where.get(tag) or [0])[-1]
+        if k and not any(self.where.get(t, [0])[-1:] > [k] for t in stop):
+            self._cut(k, True)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -149,7 +163,7 @@ class _Tree(HTMLParser):
         if self.segment < 0:
             if not data.strip():
                 return
-            parent = next(at for _, at in reversed(self.open) if at >= 0)
+            parent = self.parents[-1]
             self.nodes.append(Node("#text", parent))
             self.segment = len(self.nodes) - 1
         node = self.nodes[self.segment]

@@ -318,7 +318,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     release(spark)
     found = written(blocks.shared(texts, anchor_hashes), "shared")
     release(spark)
-    around = written(_surroundings(texts, found, blocks.ranges(texts)), "surroundings")
+    around = written(_surroundings(texts, found, 2 * blocks.ranges(texts)), "surroundings")
     drop_written(found)
     release(spark)
     spans = _gathered(around.where("part is not null").select("part", "blob"))

@@ -186,6 +186,25 @@ def test_url_verdicts(spark):
     assert got[0].host == "a.example.net" and got[1].verdict == "block" and got[5].host == ""
 
 
+def test_url_ties_long_hosts_and_a_long_list(spark, monkeypatch):
+    urls = ["http://a.b/xy", "http://" + "a." * 20_000 + "b/xy", "http://c.b/z", "://b/xy", "http:///xy"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(2)
+    rules = [("b/xy", "block"), ("a.b/", "allow"), ("b/", "allow")]
+    for size in (1 << 22, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", size)
+        got = rows(url_filter.judge(df, rules, blocks=1), "page_id")
+        assert [got[i].rule for i in range(5)] == ["a.b/", "a.b/", "b/", "b/xy", None]
+    assert url_filter.judge(df.where("false"), rules).count() == 0
+
+
+def test_main_text_of_broken_markup():
+    model = html_extract.default_model()
+    article = "<article><h1>A B</h1><p>One two three four.</p><p>Five six seven eight.</p></article>"
+    assert html_extract.main_text(f"<![foo[bar]]><body>{article}", model) == "A B\nOne two three four.\nFive six seven eight."
+    many = "<body>" + "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000 + article
+    assert "One two three four." in html_extract.main_text(many, model) or html_extract.main_text(many, model) == ""
+
+
 def test_main_text():
     page = '<body><nav><ul><li><a href="/">Home</a></ul></nav><article><h1>A &amp; B</h1><p>One  two<br>three.<p>Four five six seven.</article><div class="comments"><p>I liked it.</p></div><footer>Notes.</footer>'
     assert html_extract.main_text(page, html_extract.default_model()) == "A & B\nOne two three.\nFour five six seven."
