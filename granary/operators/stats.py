@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +11,27 @@ from pyspark.sql import functions as F
 from granary.operators.ordered import at_ranks, running
 
 
+def with_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Inner join on the group columns; null groups are groups."""
+    names = [f"__right_{g}" for g in group]
+    other = right.withColumnsRenamed(dict(zip(group, names, strict=True)))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)), F.lit(True))
+    return left.join(other, same).drop(*names)
+
+
 def summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Count, extremes, mean, population deviation, coefficient of variation (null for a mean of 0), median and p95 of each group."""
+    """Count, extremes, mean, population deviation, coefficient of variation (infinite for a mean of 0), median and p95 of each group."""
     plain = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    return plain.withColumn("cv", F.expr("sd / nullif(mean, 0)")).join(at_ranks(df, group, value, p95=0.95), [*group])
+    cv = F.when(F.col("mean") == 0, F.lit(float("inf"))).otherwise(F.expr("sd / nullif(mean, 0)"))
+    return with_groups(plain.withColumn("cv", cv), at_ranks(df, group, value, p95=0.95), group)
 
 
 def deviations(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Rows with the median of their group (mid) and the group's median absolute deviation (mad)."""
     mid = at_ranks(df, group, value).select(*group, F.col("median").alias("mid"))
-    off = df.where(F.col(value).isNotNull()).join(mid, [*group]).withColumn("off", F.abs(F.col(value) - F.col("mid")))
+    off = with_groups(df.where(F.col(value).isNotNull()), mid, group).withColumn("off", F.abs(F.col(value) - F.col("mid")))
     mad = at_ranks(off, group, "off").select(*group, F.col("median").alias("mad"))
-    return off.join(mad, [*group])
+    return with_groups(off, mad, group)
 
 
 def trim(df: DataFrame, group: Sequence[str], value: str, width: float = 3.0, least: float = 0.7) -> DataFrame:
@@ -51,3 +61,10 @@ def budget_gate(base: DataFrame, current: DataFrame, keys: Sequence[str], budget
     c = current.select(*keys, F.inline(F.array(*pick))).select(*keys, "metric", F.col("v").alias("current"))
     both = b.join(c, [*keys, "metric"]).where("base <> 0").withColumn("pct", (F.col("current") - F.col("base")) / F.col("base") * 100)
     return both.withColumn("status", F.when(F.col("pct") >= F.col("fail"), "FAIL").when(F.col("pct") >= F.col("warn"), "WARN").otherwise("PASS")).drop("warn", "fail")
+
+
+def gate_verdict(gate: DataFrame) -> DataFrame:
+    """One row: FAIL if any comparison failed or there was none, WARN if any warned, else PASS."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    verdict = F.when((F.count("*") == 0) | (n("FAIL") > 0), "FAIL").when(n("WARN") > 0, "WARN").otherwise("PASS")
+    return gate.agg(F.count("*").alias("comparisons"), n("FAIL").alias("failed"), n("WARN").alias("warned"), verdict.alias("verdict"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.operators import checks, chunks, stats
 from granary.operators.ordered import at_ranks, running
 from granary.operators.staging import shared_folder
+from granary.plans import formats
 from granary.streaming.guard import guard_stream
 
 
@@ -85,7 +86,7 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.year("o_orderdate")
     orders = _table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
     side = lambda y: orders.where(year == y).groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("orders"), F.sum("cents").alias("cents"))
-    return stats.budget_gate(side(1997), side(1998), ["o_orderpriority", "o_orderstatus"], {"orders": (2, 10), "cents": (5, 20)})
+    return stats.budget_gate(side(1997), side(1998), ["o_orderpriority", "o_orderstatus"], {"orders": (0.5, 3), "cents": (1, 4)})
 
 
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,11 @@ def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(spark, sf_dir).select("o_orderpriority", "o_orderstatus", "metric", F.round("pct", 6).alias("pct"), "status")
 
 
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over all comparisons; none at all is a failure."""
+    return stats.gate_verdict(_gate(spark, sf_dir))
+
+
 def top_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest changes that fail their budget."""
     keys = ["o_orderpriority", "o_orderstatus", "metric"]
@@ -244,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_sum": rank_sum,
     "percent_of_group": percent_of_group,
     "budget_gate": budget_gate,
+    "gate_verdict": gate_verdict,
     "top_regressions": top_regressions,
     "cheapest_brand": cheapest_brand,
     "stability_gate": stability_gate,
@@ -268,7 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_replay_guard": stream_replay_guard,
 }
 _GATE_SQL = """o AS (SELECT year(o_orderdate) AS y, o_orderpriority, o_orderstatus, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY 1, 2, 3),
-m AS (SELECT y, o_orderpriority, o_orderstatus, 'orders' AS metric, CAST(orders AS DOUBLE) AS v, 2 AS warn, 10 AS fail FROM o UNION ALL SELECT y, o_orderpriority, o_orderstatus, 'cents', CAST(cents AS DOUBLE), 5, 20 FROM o),
+m AS (SELECT y, o_orderpriority, o_orderstatus, 'orders' AS metric, CAST(orders AS DOUBLE) AS v, 0.5 AS warn, 3 AS fail FROM o UNION ALL SELECT y, o_orderpriority, o_orderstatus, 'cents', CAST(cents AS DOUBLE), 1, 4 FROM o),
 p AS (SELECT c.*, (c.v - b.v) / b.v * 100 AS pct FROM m b JOIN m c ON b.y = 1997 AND c.y = 1998 AND b.o_orderpriority = c.o_orderpriority AND b.o_orderstatus = c.o_orderstatus AND b.metric = c.metric WHERE b.v <> 0),
 g AS (SELECT *, CASE WHEN pct >= fail THEN 'FAIL' WHEN pct >= warn THEN 'WARN' ELSE 'PASS' END AS status FROM p)"""
 SQL: dict[str, str] = {
@@ -282,6 +289,7 @@ SQL: dict[str, str] = {
     "rank_sum": "WITH p AS (SELECT event_type, user_id, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS total, max(CAST(round(value * 100) AS BIGINT)) AS top FROM events GROUP BY 1, 2), r AS (SELECT event_type, user_id, (row_number() OVER (PARTITION BY event_type ORDER BY n, user_id) + row_number() OVER (PARTITION BY event_type ORDER BY total, user_id) + row_number() OVER (PARTITION BY event_type ORDER BY top, user_id)) / 3 AS score FROM p) SELECT event_type, user_id, round(score, 6) AS score, row_number() OVER (PARTITION BY event_type ORDER BY score, user_id) AS place FROM r",
     "percent_of_group": "WITH c AS (SELECT o_orderpriority, o_orderstatus, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS c FROM orders GROUP BY 1, 2), b AS (SELECT o_orderpriority, sum(c) AS b FROM c GROUP BY 1) SELECT o_orderpriority, o_orderstatus, round(CASE WHEN b = 0 THEN 0 ELSE CAST(c - b AS DOUBLE) / b * 100 END, 6) AS pct FROM c JOIN b USING (o_orderpriority)",
     "budget_gate": f"WITH {_GATE_SQL} SELECT o_orderpriority, o_orderstatus, metric, round(pct, 6) AS pct, status FROM g",
+    "gate_verdict": f"WITH {_GATE_SQL} SELECT count(*) AS comparisons, count(*) FILTER (WHERE status = 'FAIL') AS failed, count(*) FILTER (WHERE status = 'WARN') AS warned, CASE WHEN count(*) = 0 OR count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM g",
     "top_regressions": f"WITH {_GATE_SQL} SELECT o_orderpriority, o_orderstatus, metric, round(pct, 6) AS pct FROM g WHERE status = 'FAIL' ORDER BY abs(round(pct, 6)) DESC, 1, 2, 3 LIMIT 5",
     "cheapest_brand": "WITH b AS (SELECT p_type, p_brand, count(*) AS n, sum(CAST(round(p_retailprice * 100) AS BIGINT)) / count(*) AS m FROM part GROUP BY 1, 2) SELECT p_type, CAST(sum(n) AS BIGINT) AS n, round(sum(m), 4) AS sum_of_means, first(p_brand ORDER BY m, p_brand) AS cheapest FROM b GROUP BY 1",
     "stability_gate": "WITH g AS (SELECT l_linestatus, l_returnflag, stddev_pop(l_quantity) / nullif(avg(l_quantity), 0) AS cv, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) SELECT l_linestatus, bool_and(cv <= 0.15 AND m > 0) AS passed, round(max(cv), 8) AS worst_cv FROM g GROUP BY 1",
@@ -310,3 +318,6 @@ SELECT doc_id, op, CASE WHEN min(f) IS NULL THEN 'LITERAL' ELSE 'COPY' END AS ki
     "document_fields": "SELECT event_id, j.key, json_extract_string(props, '$.' || j.key) AS value FROM events, json_each(props) j",
 }
 SQL["stream_replay_guard"] = SQL["replay_guard"]
+
+QUERIES |= formats.QUERIES
+SQL |= formats.SQL

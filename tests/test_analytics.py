@@ -72,3 +72,26 @@ def test_payload_crc32(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.crc32 for r in catalog.QUERIES["payload_crc32"](spark, sf).collect()}
     assert got == {k: None if t is None else zlib.crc32(t.encode()) for k, t in texts.items()}
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 0.0), ("a", 0.0)], "g string, v double")
+    got = {r.g: r for r in stats.summary(df, ["g"], "v").collect()}
+    assert got[None].median == 2.0 and got[None].n == 2 and got["a"].cv == float("inf")
+    assert {r.g: (r.n, r.kept) for r in stats.trim(df, ["g"], "v").collect()} == {None: (2, 2), "a": (2, 2)}
+
+
+def test_gate_without_comparisons_fails(spark):
+    gate = spark.createDataFrame([("PASS",), ("WARN",)], "status string")
+    assert [stats.gate_verdict(g).first().verdict for g in (gate, gate.where("status = 'PASS'"), gate.where("false"))] == ["WARN", "PASS", "FAIL"]
+
+
+def test_varints_and_paths(spark):
+    from granary.functions import scalars, variants
+
+    df = spark.createDataFrame([("00", 0), ("7F", 127), ("8001", 128), ("FFFFFFFF0F", 2**32 - 1), ("8000", None), ("80", None), ("", None), ("808080808001", None)], "h string, n long")
+    got = df.select("h", "n", scalars.varint_value(F.col("h")).alias("back"), scalars.varint_hex(F.col("n")).alias("hex")).collect()
+    assert all(r.back == r.n for r in got) and all(r.hex == r.h for r in got if r.n is not None)
+    v = spark.createDataFrame([('{"a":[{"b":"x"},2]}',), ("[]",), (None,)], "j string").select(F.parse_json("j").alias("v"))
+    assert [r[0] for r in v.select(variants.navigate(F.col("v"), ("a", 0, "b"), "STRING")).collect()][:2] == ["Ok", "FieldTypeMismatch"]
+    assert [r[0] for r in v.select(variants.navigate(F.col("v"), ("a", 5), "STRING")).collect()][:2] == ["BoundsViolation", "FieldTypeMismatch"]
