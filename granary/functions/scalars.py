@@ -52,7 +52,7 @@ def varint_hex(n: Column) -> Column:
 def varint_value(hexes: Column) -> Column:
     """The number of a varint in hex; null if it isn't minimal, doesn't end, or is longer than five bytes."""
     byte = F.transform(F.regexp_extract_all(hexes, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))
-    last = F.try_element_at(byte, F.size(byte))
+    last = F.get(byte, F.size(byte) - 1)
     ends = (last < 128) & ~F.exists(F.slice(byte, 1, F.greatest(F.size(byte) - 1, F.lit(0))), lambda b: b < 128)
     total = F.aggregate(F.reverse(byte), F.lit(0).cast("long"), lambda acc, b: acc * 128 + b.bitwiseAND(F.lit(127)))
     return F.when((F.size(byte) > 0) & (F.size(byte) <= 5) & ends & ((last > 0) | (F.size(byte) == 1)), total)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from granary.functions import scalars, variants
 from granary.operators import gates
 from granary.operators.ordered import running
+from granary.operators.staging import staged
+from granary.sources import configs, logs, packages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,11 +233,48 @@ def codec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.codec_summary(_table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
+def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as config files and read back value by value."""
+    files = configs.files(_table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text", "lang"])
+    return configs.values(files).select("path", "at", "kind", F.md5("value").alias("value_md5"))
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as indexed log files: their events, and the entries of their index."""
+    files = logs.files(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("events")), "SEARCHABLE")
+    blocks = staged(logs.blocks(files), "log-blocks")
+    entries = logs.index_entries(blocks).groupBy("path").agg(F.count("*").alias("entries"), F.sum("size").alias("indexed"))
+    return logs.events(blocks).join(entries, "path").select("path", "code", F.sha2("events", 256).alias("sha256"), "entries", "indexed")
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for each order, the chunks being its lines; a fifth is damaged in one way or another."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    chunk = F.transform("x", lambda c: F.encode(F.concat(F.lit("part "), c["l_partkey"].cast("string")), "UTF-8"))
+    places = F.reverse(F.sequence(F.lit(0), F.size("x") - 1))
+    files = packages.files(lines.select(F.col("l_orderkey").alias("path"), chunk.alias("chunks"), places.alias("places")), 2)
+    kind = F.pmod(F.col("path").cast("long"), F.lit(10))
+    c = F.col("content")
+    cut = F.when(kind == 1, F.expr("substring(content, 1, octet_length(content) - 1)")).when(kind == 2, F.concat(F.encode(F.lit("X"), "UTF-8"), F.expr("substring(content, 2)"))).otherwise(c)
+    return staged(files.select("path", cut.alias("content")), "packages")
+
+
+def package_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each package that opens, in the order they are applied."""
+    return packages.applied(_packages(spark, sf_dir)).select("path", "place", "chunk", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def package_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fault of each package."""
+    return packages.faults(_packages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         value_counts, path_refusals, profile_matrix, log_flags, usable_groups, run_digests, parity, median_interval, language_averages, byte_ratio, ascending_fields, trust_documents, key_union, clean_floats, hex_checks,
         canonical_json, size_labels, normalized_metrics, fairness_gate, credibility_gates, detected_formats, report_lines, packed_numbers, type_ids, index_choice, first_payloads, codec_summary,
+        config_values, log_events, package_order, package_faults,
     )
 }
 
@@ -301,4 +340,11 @@ SELECT o_orderkey, n, list_aggregate(list_transform(list_filter(range(5), lambda
     "first_payloads": "SELECT event_type, min(event_id) AS event_id, arg_min(props, event_id) AS props FROM events GROUP BY 1",
     "codec_summary": """WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS n, min(value) AS lo, round(max(value) FILTER (WHERE pos = n // 2 + 1), 6) AS upper_median, max(value) AS hi, round(stddev_pop(value) / avg(value), 6) AS cv, round(stddev_pop(value) / avg(value), 6) AS cv_or_zero, count(*) FILTER (WHERE value > 0) AS passes, stddev_pop(value) / avg(value) <= 0.15 AS stable FROM p GROUP BY 1""",
+    "config_values": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, * FROM documents)
+SELECT path, '$' AS at, 'object' AS kind, md5('3') AS value_md5 FROM d UNION ALL SELECT path, '$.0', 'i64', md5(path) FROM d
+UNION ALL SELECT path, '$.1', CASE WHEN text IS NULL THEN 'null' ELSE 'string' END, md5(text) FROM d UNION ALL SELECT path, '$.2', CASE WHEN lang IS NULL THEN 'null' ELSE 'string' END, md5(lang) FROM d""",
+    "log_events": "SELECT CAST(doc_id AS VARCHAR) AS path, 'Ok' AS code, sha256(coalesce(text, '')) AS sha256, CAST((strlen(coalesce(text, '')) + 13 + 4095) // 4096 AS BIGINT) AS entries, CAST(strlen(coalesce(text, '')) + 13 AS BIGINT) AS indexed FROM documents",
+    "package_order": """WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS chunk, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS path, n - 1 - chunk AS place, chunk, CASE WHEN l_orderkey % 10 = 1 AND chunk = 0 THEN NULL ELSE 'part ' || l_partkey END AS payload FROM l WHERE l_orderkey % 10 <> 2""",
+    "package_faults": "SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE l_orderkey % 10 WHEN 1 THEN 'OffsetOutOfBounds' WHEN 2 THEN 'InvalidMagic' ELSE 'Ok' END AS code FROM (SELECT DISTINCT l_orderkey FROM lineitem)",
 }
