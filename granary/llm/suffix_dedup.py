@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,26 +93,28 @@ def anchor_hashes(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(h, np.searchsorted(text, np.arange(1, len(texts))))]
 
 
-#: Blobs of the surroundings in a range of anchors; else one surrounding of a frequent anchor, or a removed range (lo, hi).
-_AROUND = "part bigint, blob binary, no bigint, rank bigint, lo bigint, hi bigint, before int, around binary"
+#: Blobs of the surroundings in a range of anchors; else one surrounding of a frequent anchor, or a blob of the ranges that a chunk's texts lose.
+_AROUND = "part bigint, chunk bigint, blob binary, no bigint, rank bigint, lo bigint, hi bigint, before int, around binary"
 _NAMES = [c.split()[0] for c in _AROUND.split(", ")]
-_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+#: Ranges that texts lose: blobs by chunk, or single ones.
+_LOST = "chunk bigint, blob binary, no bigint, lo bigint, hi bigint"
 
-#: hash, no, rank, lo, before, after and the bytes around of some anchors.
+#: hash, chunk, no, rank, lo, before, after and the bytes around of some anchors.
 Rows = tuple[np.ndarray, ...]
 
 
 def _to_blob(rows: Rows) -> bytes:
     """Compressed, byte planes first: what is constant or small in a column costs nothing."""
-    planes = [np.ascontiguousarray(c.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in rows[:6]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, rows[6].tobytes()]))
+    planes = [np.ascontiguousarray(c.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in rows if c.ndim == 1]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, *(c.tobytes() for c in rows if c.ndim > 1)]))
 
 
-def _from_blob(blob: bytes) -> Rows:
+def _from_blob(blob: bytes, numbers: int, width: int = 0) -> Rows:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // (48 + REACH + LENGTH)
-    columns = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(np.int64).ravel() for i in range(6)]
-    return (*columns, raw[48 * n :].reshape(n, REACH + LENGTH))
+    n = len(raw) // (8 * numbers + width)
+    columns = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(np.int64).ravel() for i in range(numbers)]
+    return (*columns, raw[8 * numbers * n :].reshape(n, width)) if width else tuple(columns)
 
 
 def _merged(no: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +151,7 @@ def _surroundings(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
         keys, at = np.unique(keys, return_index=True)
         counts = counts[at]
         texts, nos, ranks = texts_of(left["text"]), left["no"].to_numpy(), left["rank"].to_numpy()
+        number = left["chunk"][0].as_py() if len(texts) else 0
         held = []
         for lo, hi in blocks.spans(texts) if len(keys) else ():
             raw, begin, end = _laid_out(texts[lo:hi])
@@ -156,16 +160,17 @@ def _surroundings(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
             hit = keys[key] == blocks.cut(h)
             text, at, h, key = text[hit], at[hit], h[hit], key[hit]
             before, after = np.minimum(at - begin[text], REACH), np.minimum(end[text] - at, LENGTH)
-            held.append((h, nos[lo:hi][text], ranks[lo:hi][text], at - begin[text] - before, before, after, raw[at[:, None] + np.arange(-REACH, LENGTH)], counts[key] > hot))
+            held.append((h, np.full(len(h), number), nos[lo:hi][text], ranks[lo:hi][text], at - begin[text] - before, before, after, raw[at[:, None] + np.arange(-REACH, LENGTH)], counts[key] > hot))
         out = []
         if sum(len(x[0]) for x in held):
             *rows, many = (np.concatenate(x) for x in zip(*held, strict=True))
-            no, rank, lo, before, after, around = rows[1:]
+            no, rank, lo, before, after, around = rows[2:]
             order, kind = _alike(around, before, after, rank)
             mine = rank[order] == rank[order][np.flatnonzero(np.diff(kind, prepend=-1))][kind]
             gone, one = order[~mine], order[mine]
-            out += [dict(zip(("no", "lo", "hi"), x, strict=True)) for x in zip(*(c.tolist() for c in _merged(no[gone], lo[gone], (lo + before + after)[gone])), strict=True)]
-            out += [{"no": int(no[i]), "rank": int(rank[i]), "lo": int(lo[i]), "hi": int(lo[i] + before[i] + after[i]), "before": int(before[i]), "around": around[i].tobytes()} for i in one[many[one]].tolist()]
+            if len(gone):
+                out.append({"chunk": number, "blob": _to_blob(_merged(no[gone], lo[gone], (lo + before + after)[gone]))})
+            out += [{"chunk": number, "no": int(no[i]), "rank": int(rank[i]), "lo": int(lo[i]), "hi": int(lo[i] + before[i] + after[i]), "before": int(before[i]), "around": around[i].tobytes()} for i in one[many[one]].tolist()]
             one = one[~many[one]]
             one = one[np.argsort(rows[0][one])]
             part = (blocks.cut(rows[0][one]).astype(np.float64) * (parts / 2.0**blocks.BITS)).astype(np.int64)
@@ -212,9 +217,9 @@ def _later(around: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.n
     return out
 
 
-def _ranges(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(no, lo, hi) of what the documents of a block of whole anchors lose."""
-    h, no, rank, lo, before, after, around = rows
+def _ranges(rows: Rows) -> Rows:
+    """(chunk, no, lo, hi) of what the documents of a block of whole anchors lose."""
+    h, chunk, no, rank, lo, before, after, around = rows
     order, kind = _alike(around, before, after, rank)
     head = order[np.flatnonzero(np.diff(kind, prepend=-1))]
     # equal surroundings: all but the first document's are covered whole, and one of each is put in order
@@ -230,22 +235,26 @@ def _ranges(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, found = first[hit], found[first_kind[hit]]
     base = lo[first] + before[first] - REACH
     low, high = base + found.argmax(1), base + REACH - found[:, ::-1].argmax(1) + LENGTH
-    return tuple(np.concatenate(x) for x in ((no[whole], no[first]), (lo[whole], low), ((lo + before + after)[whole], high)))
+    return tuple(np.concatenate(x) for x in ((chunk[whole], chunk[first]), (no[whole], no[first]), (lo[whole], low), ((lo + before + after)[whole], high)))
 
 
 def _gathered(around: DataFrame) -> DataFrame:
-    """(no, lo, hi) by blocks of whole anchors."""
+    """Lost ranges by blocks of whole anchors, a blob for each chunk."""
 
     def part(table: pa.Table) -> pa.Table:
-        rows = tuple(np.concatenate(c) for c in zip(*(_from_blob(x) for x in table["blob"].to_pylist()), strict=True))
+        rows = tuple(np.concatenate(c) for c in zip(*(_from_blob(x, 7, REACH + LENGTH) for x in table["blob"].to_pylist()), strict=True))
         order = np.argsort(rows[0], kind="stable")
         new = np.flatnonzero(np.diff(rows[0][order], prepend=rows[0][order][:1] - 1))
         # the first anchor of each block
         cut = new[np.flatnonzero(np.diff(new // BLOCK, prepend=-1))].tolist()
         found = [_ranges(tuple(c[order[i:j]] for c in rows)) for i, j in zip(cut, [*cut[1:], len(order)], strict=True)]
-        return pa.table(dict(zip(("no", "lo", "hi"), _merged(*(np.concatenate(x) for x in zip(*found, strict=True))), strict=True)))
+        chunk, *lost = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        edge = [*np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist(), len(order)]
+        out = [{"chunk": int(chunk[order[i]]), "blob": _to_blob(_merged(*(c[order[i:j]] for c in lost)))} for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("blob", pa.binary()), *((c, pa.int64()) for c in ("no", "lo", "hi"))]))
 
-    return around.groupBy("part").applyInArrow(part, "no bigint, lo bigint, hi bigint")
+    return around.groupBy("part").applyInArrow(part, _LOST)
 
 
 def _aggregated(around: DataFrame) -> DataFrame:
@@ -254,52 +263,47 @@ def _aggregated(around: DataFrame) -> DataFrame:
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows, lo, val = [], [], []
-            for i, (a, end, left, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True)):
+            for i, (a, end, left, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3, 7)), strict=True)):
                 for s in range(REACH - left, REACH - left + end - a - LENGTH + 1):
                     rows.append(i)
                     lo.append(a + left - REACH + s)
                     val.append(c[s : s + LENGTH])
             where = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["no", "rank", "lo", "val"])
+            return pa.RecordBatch.from_arrays([*(b.column(j).take(where) for j in range(3)), pa.array(lo, pa.int64()), pa.array(val, pa.binary())], names=["chunk", "no", "rank", "lo", "val"])
 
         return step
 
     kind = ["before", F.col("hi") - F.col("lo"), "around"]
     first = F.min("rank").over(Window.partitionBy(*kind))
     around = written(around.withColumn("first", first), "frequent")
-    copies = around.where("rank > first").select("no", "lo", "hi")
-    each = written(arrow_map(around.where("rank = first").select("no", "rank", "lo", "hi", "before", "around"), "no bigint, rank bigint, lo bigint, val binary", make, 1000).distinct(), "strings")
+    none = F.lit(None).cast("binary").alias("blob")
+    copies = around.where("rank > first").select("chunk", none, "no", "lo", "hi")
+    each = written(arrow_map(around.where("rank = first").select("chunk", "no", "rank", "lo", "hi", "before", "around"), "chunk bigint, no bigint, rank bigint, lo bigint, val binary", make, 1000).distinct(), "strings")
     least = each.groupBy("val").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first != last").select("val", "first")
-    return copies.union(each.join(least, "val").where("rank > first").select("no", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    return copies.union(each.join(least, "val").where("rank > first").select("chunk", none, "no", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
-def _remaining(both: DataFrame, keep: bool) -> DataFrame:
-    """(digest, kept, n_removed, n_spans, kept_sha256) of (digest, spans, text)."""
+def _remaining(texts: DataFrame, lost: DataFrame, keep: bool) -> DataFrame:
+    """(digest, kept, n_removed, n_spans, kept_sha256) of the texts of each chunk and the ranges they lose."""
 
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for spans, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                kept, end, runs, removed = [], 0, 0, 0
-                last = -1
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                    runs += lo > last
-                    if lo > end:
-                        kept.append(raw[end:lo])
-                    if hi > end:
-                        removed += hi - max(lo, end)
-                        end = hi
-                    last = max(last, hi)
-                left = b"".join([*kept, raw[end:]])
-                out.append((left if keep else None, removed, runs, hashlib.sha256(left).hexdigest()))
-            c = list(zip(*out, strict=True))
-            cols = [b.column(0), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())]
-            return pa.RecordBatch.from_arrays(cols, names=["digest", "kept", "n_removed", "n_spans", "kept_sha256"])
-
-        return step
+    def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs = [_from_blob(b, 3) for b in right["blob"].to_pylist() if b is not None]
+        single = right.filter(pc.is_null(right["blob"]))
+        every = [*blobs, tuple(single[c].to_numpy() for c in ("no", "lo", "hi"))]
+        no, lo, hi = _merged(*(np.concatenate(c) for c in zip(*every, strict=True)))
+        out = []
+        for n, digest, text in zip(left["no"].to_pylist(), left["digest"].to_pylist(), left["text"], strict=True):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            some = range(*np.searchsorted(no, [n, n + 1]).tolist())
+            ends = [0, *(x for i in some for x in (int(lo[i]), int(hi[i]))), len(raw)]
+            kept = b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True))
+            out.append((digest, kept if keep else None, len(raw) - len(kept), len(some), hashlib.sha256(kept).hexdigest()))
+        return pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema(list(zip(names, kinds, strict=True))))
 
-    return arrow_map(both.select("digest", "spans", "text"), "digest string, kept binary, n_removed bigint, n_spans bigint, kept_sha256 string", make, 500)
+    names = ["digest", "kept", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    both = texts.select("chunk", "no", "digest", "text").groupBy("chunk").cogroup(lost.groupBy("chunk"))
+    return both.applyInArrow(chunk, "digest string, kept binary, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -318,20 +322,19 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     release(spark)
     found = written(blocks.shared(texts, anchor_hashes), "shared")
     release(spark)
-    around = written(_surroundings(texts, found, 2 * blocks.ranges(texts)), "surroundings")
+    around = written(_surroundings(texts, found, 4 * blocks.ranges(texts)), "surroundings")
     drop_written(found)
     release(spark)
     spans = _gathered(around.where("part is not null").select("part", "blob"))
     frequent = around.where("around is not null")
     if frequent.limit(1).count():
-        spans = spans.union(_aggregated(frequent.select("no", "rank", "lo", "hi", "before", "around")))
-    others = around.where("part is null and around is null").select("no", "lo", "hi")
-    spans = written(spans.union(others), "spans")
+        spans = spans.union(_aggregated(frequent.select("chunk", "no", "rank", "lo", "hi", "before", "around")))
+    others = around.where("part is null and around is null").select("chunk", "blob", "no", "lo", "hi")
+    lost = written(spans.union(others), "lost")
     drop_written(around)
     release(spark)
-    cuts = spans.distinct().groupBy("no").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    made = written(_remaining(texts.join(cuts, "no", "left"), keep), "remaining")
-    drop_written(texts, spans)
+    made = written(_remaining(texts, lost, keep), "remaining")
+    drop_written(texts, lost)
     release(spark)
     out = [F.col("id").alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     same = ["name", "row", "digest"]
