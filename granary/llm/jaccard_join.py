@@ -248,6 +248,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     if roots is not None:
         small = small.join(roots.withColumnRenamed("id", "node"), "node", "left").select("digest", "n", F.coalesce("root", "node").alias("node"))
     small = written(small, "roots")
+    drop_written(texts, post)
+    release(df.sparkSession)
     of = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x"))
     name = of.join(small, "digest").groupBy("node").agg(F.min("x").alias("x"))
     by_text = small.join(name, "node").select("digest", "n", F.col("x.id").alias("rep"), F.col("x.row").alias("first"))
