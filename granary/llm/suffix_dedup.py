@@ -67,7 +67,8 @@ def anchors(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarr
     pad = np.zeros(span - 1, np.uint64)
     high = _slide(np.concatenate([pad, low, pad]), span, np.maximum)
     at = np.flatnonzero(h == high[: len(h)])
-    return at, h[at]
+    # the smallest of many hashes are small; mixed again they fill all ranges alike
+    return at, mix(h[at])
 
 
 def _laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +108,7 @@ Rows = tuple[np.ndarray, ...]
 def _to_blob(rows: Rows) -> bytes:
     """Compressed, byte planes first: what is constant or small in a column costs nothing."""
     planes = [np.ascontiguousarray(c.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in rows if c.ndim == 1]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, *(c.tobytes() for c in rows if c.ndim > 1)]))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join([*planes, *(c.tobytes() for c in rows if c.ndim > 1)]))
 
 
 def _from_blob(blob: bytes, numbers: int, width: int = 0) -> Rows:
@@ -322,7 +323,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     release(spark)
     found = written(blocks.shared(texts, anchor_hashes), "shared")
     release(spark)
-    around = written(_surroundings(texts, found, 4 * blocks.ranges(texts)), "surroundings")
+    around = written(_surroundings(texts, found, blocks.ranges(texts)), "surroundings")
     drop_written(found)
     release(spark)
     spans = _gathered(around.where("part is not null").select("part", "blob"))
