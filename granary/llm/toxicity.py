@@ -1,15 +1,18 @@
 """Toxicity: a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct hashed terms of a text: pairwise
-factors learn what linear weights can't, such as an insult together with the mention of a group. Trained on at most
-MAX_ROWS labelled rows (those with the smallest hash of their id), full-batch, on the driver; the model has TERMS rows
-of 1 + RANK numbers, whatever the corpus.
+factors learn what linear weights can't, such as an insult together with the mention of a group. Terms enter by their own
+G statistic against the label, or by that of a pair they make, against the larger rate of its two terms: so a pair of
+terms is learned that are harmless alone. Trained on at most MAX_ROWS labelled rows (those with the smallest hash of
+their id), full-batch, on the driver; the model has TERMS rows of 1 + RANK numbers, whatever the corpus.
 
-Null and empty texts score sigmoid(w0). A row labelled twice counts as toxic if any label says so; null labels don't count.
+Null and empty texts score sigmoid(w0). Without labels every score is near 0. A row labelled twice counts as toxic if any label says so; null labels don't count. Of
+several texts with one id, the one whose packed terms come first is learned from; each is scored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,8 +27,10 @@ from granary.llm.common import arrow_map, texts_of
 MAX_ROWS = 8000
 BUCKETS = 1 << 18
 TERMS, RANK, STEPS, L2 = 512, 8, 250, 1e-3
-#: Terms with a smaller G statistic are noise (one in six hundred passes by chance).
-MIN_G = 10.0
+#: Of all terms (or pairs) tried, chance lets in so many. Chosen among 0.05, 1, 10 and 50 by folds inside the training rows.
+CHANCE = 1.0
+#: Pairs are sought among so many terms that most rows hold.
+PAIR_TERMS = 2048
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -47,30 +52,68 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _excess(a: np.ndarray, n: np.ndarray, rate: np.ndarray | float) -> np.ndarray:
+    """G statistic of a toxic rows among n where the rate is expected."""
+    b = n - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.nan_to_num(a * np.log(a / (n * rate)), posinf=0) + np.nan_to_num(b * np.log(b / (n * (1 - rate))), posinf=0))
+
+
+def _least(tried: int) -> float:
+    """The G statistic that chance gives to CHANCE of so many tries."""
+    low, high = 0.0, 200.0
+    while high - low > 1e-3:
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) * tried > CHANCE else (low, mid)
+    return high
+
+
+def _paired(rows: list[set[int]], y: np.ndarray, seen: np.ndarray, bad: np.ndarray) -> list[int]:
+    """Terms of pairs that are toxic more often than both of their terms, the strongest first."""
+    often = [int(t) for t in np.argsort(-seen, kind="stable")[:PAIR_TERMS] if seen[t] > 1]
+    place = {t: k for k, t in enumerate(often)}
+    x = np.zeros((len(rows), len(often)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, [place[t] for t in r if t in place]] = 1
+    toxic, alone = x[y > 0], (bad / np.maximum(seen, 1))[often]
+    least, found = _least(max(1, len(often) * (len(often) - 1) // 2)), {}
+    for at in range(0, len(often), 256):
+        a = (toxic[:, at : at + 256].T @ toxic).astype(np.float64)
+        n = (x[:, at : at + 256].T @ x).astype(np.float64)
+        rate = np.maximum(alone[at : at + 256, None], alone[None, :])
+        g = np.where(a > n * rate, _excess(a, n, np.minimum(rate, 1 - 1e-9)), 0)
+        for i, j in zip(*np.nonzero(g > least), strict=True):
+            if at + i < j:
+                for t in (often[at + i], often[j]):
+                    found[t] = max(found.get(t, 0.0), float(g[i, j]))
+    return sorted(found, key=lambda t: (-found[t], t))
+
+
 def fit(rows: list[set[int]], labels: np.ndarray, seed: int = 1) -> Machine:
-    """Terms with the largest G statistic against the label, then Adam on the log loss."""
+    """Terms by the G statistic of their own and of their pairs, then Adam on the log loss. No rows, or rows of one label: a constant."""
     y = np.asarray(labels, np.float64)
     n = len(y)
     if not n:
-        return Machine({}, 0.0, np.zeros(0), np.zeros((0, RANK)))
+        return Machine({}, -20.0, np.zeros(0), np.zeros((0, RANK)))
+    rate = y.mean()
+    if not 0 < rate < 1:
+        return Machine({}, 20.0 if rate else -20.0, np.zeros(0), np.zeros((0, RANK)))
     seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r, t in zip(rows, y, strict=True):
         at = np.fromiter(r, np.int64, len(r))
         seen[at] += 1
         bad[at] += t
-    rate = y.mean()
-    a, b = bad, seen - bad
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.nan_to_num(a * np.log(a / (seen * rate))) + np.nan_to_num(b * np.log(b / (seen * (1 - rate))))
-    g[seen < 2] = 0
-    best = np.argsort(-g, kind="stable")[:TERMS]
-    terms = {int(t): k for k, t in enumerate(best[g[best] > MIN_G])}
+    g = np.where(seen > 1, _excess(bad, seen, rate), 0)
+    best = np.argsort(-g, kind="stable")
+    single = best[g[best] > _least(max(1, (seen > 1).sum()))]
+    chosen = dict.fromkeys(single.tolist()) | dict.fromkeys(_paired(rows, y, seen, bad))
+    terms = {t: k for k, t in enumerate(list(chosen)[:TERMS])}
     x = np.zeros((n, len(terms)))
     for i, r in enumerate(rows):
         x[i, [terms[t] for t in r if t in terms]] = 1
     rng = np.random.default_rng(seed)
     bias = np.log((rate * n + 0.5) / ((1 - rate) * n + 0.5))
-    p = [np.array([bias]), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK))]
+    p = [np.array([bias]), np.zeros(len(terms)), rng.normal(0, 0.1, (len(terms), RANK))]
     m = [np.zeros_like(q) for q in p]
     s = [np.zeros_like(q) for q in p]
     for step in range(1, STEPS + 1):
@@ -94,16 +137,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(MAX_ROWS)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = marked.join(texts, "id").select("y", "text")
+    rows = marked.join(texts, "id").select("id", "y", "text")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [np.fromiter(sorted(terms_of(t)), np.int32).tobytes() for t in texts_of(b.column(1))]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["y", "terms"])
+            packed = [np.fromiter(sorted(terms_of(t)), np.int32).tobytes() for t in texts_of(b.column(2))]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "y", "terms"])
 
         return step
 
-    got = sorted((bytes(r.terms), r.y) for r in arrow_map(rows, "y int, terms binary", make).limit(4 * MAX_ROWS).collect())
+    one = arrow_map(rows, f"id {kind}, y int, terms binary", make).groupBy("id").agg(F.max("y").alias("y"), F.min("terms").alias("terms"))
+    got = sorted((bytes(r.terms), r.y) for r in one.collect())
     return fit([set(np.frombuffer(t, np.int32).tolist()) for t, _ in got], np.array([y for _, y in got]))
 
 

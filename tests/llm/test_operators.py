@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import zstandard
 from tokenizers import Tokenizer, models
@@ -238,3 +239,33 @@ def test_toxicity_learns_pairs():
 def test_empty_tables(empty):
     for df in (quality.assess(empty), jaccard_join.link(empty), suffix_dedup.dedup(empty), surrogates.replace(empty, "k"), bpe.encode_column(empty, "doc_id", "text", queries.byte_bpe())):
         assert df.count() == 0
+
+
+def test_toxicity_learns_terms_harmless_alone():
+    rng = np.random.default_rng(3)
+    sides = rng.integers(0, 2, (800, 2))
+    rows = [{100 + int(a), 200 + int(b)} | {int(q) for q in rng.integers(300, 600, 20)} for a, b in sides]
+    labels = (sides[:, 0] == sides[:, 1]).astype(int)
+    machine = toxicity.fit(rows, labels)
+
+    def right(v):
+        def z(r):
+            at = [machine.terms[t] for t in r if t in machine.terms]
+            return machine.bias + machine.w[at].sum() + 0.5 * ((v[at].sum(0) ** 2).sum() - (v[at] ** 2).sum())
+
+        return np.mean([(z(r) >= 0) == y for r, y in zip(rows, labels, strict=True)])
+
+    assert {100, 101, 200, 201} <= set(machine.terms)
+    assert right(machine.v) > 0.95 > 0.7 > right(machine.v * 0)
+
+
+def test_toxicity_tables(spark):
+    docs = spark.createDataFrame([(i, f"my idiot day {i}" if i % 3 == 0 else f"my day {i}", 1) for i in range(90)] + [(None, None, 1), (3, "", 1), (3, "other", 1)], "doc_id long, text string, score int")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(90)] + [(0, 0, "x"), (1, None, "x"), (None, 1, "x"), (999, 1, "x")], "doc_id long, toxic int, text string")
+    machine = toxicity.train(docs, marks)
+    got = toxicity.apply(docs, machine).collect()
+    assert len(got) == 93 and set(got[0].asDict()) == {"doc_id", "held_out", "score", "predicted"}
+    assert sorted(r.doc_id for r in got if r.predicted) == list(range(0, 90, 3))
+    nothing = toxicity.train(docs, marks.where("false"))
+    assert not any(r.predicted for r in toxicity.apply(docs, nothing).collect())
+    assert toxicity.apply(docs.where("false"), machine).count() == 0
