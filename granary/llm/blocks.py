@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import texts_of, written
+from granary.llm.common import give_back, texts_of, written
 
 #: Bytes of text in a chunk, and bytes of text whose keys make a range.
 CHUNK, RANGE = 3_000_000, 16_000_000
@@ -71,6 +71,8 @@ def chunked(df: DataFrame, name: str, extra: str = "", more: Callable[[list[str]
                 cols += [c for i, c in enumerate(b.columns) if i != at] + [text]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 no, held = no + b.num_rows, held + int(size[-1])
+        whole = b = cols = text = None
+        give_back()
 
     names = [c.split(" ")[0] for c in schema.split(", ")]
     return written(df.mapInArrow(run, schema), name)
@@ -127,6 +129,8 @@ def shared(texts: DataFrame, keys: Keys) -> DataFrame:
                     held += [unlike(cut(k)) for k in keys(some[i:j])]
         if held:
             yield done()
+        held, b, some = [], None, None
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         ks = [unpacked(k) for k in table["keys"].to_pylist()]
@@ -147,6 +151,8 @@ def shared(texts: DataFrame, keys: Keys) -> DataFrame:
             hit = at < len(many)
             hit[hit] = many[at[hit]] == k[hit]
             out.append({"chunk": c, "keys": packed(k[hit]), "counts": np.minimum(total[at[hit]], 2**31 - 1).astype(np.int32).tobytes()})
+        every = order = ks = counts = None
+        give_back()
         return pa.Table.from_pylist(out, _BACK)
 
     sent = texts.select("chunk", "text").mapInArrow(send, "part bigint, chunk bigint, keys binary, many binary")

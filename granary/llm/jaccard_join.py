@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import blocks
-from granary.llm.common import arrow_map, drop_written, mix, texts_of, written
+from granary.llm.common import arrow_map, drop_written, give_back, mix, texts_of, written
 from granary.operators.staging import release
 
 SIZE, PERCENT = 5, 75
@@ -114,6 +114,8 @@ def _postings(texts: DataFrame, found: DataFrame, size: int, percent: int) -> Da
                     for x, v in zip(out, (s[first[pos]].view(np.int64), np.full(len(pos), numbers[row]), np.full(len(pos), n), pos.astype(np.int32)), strict=True):
                         x.append(v)
                 row += 1
+        keys = counts = None
+        give_back()
         return pa.table({k: np.concatenate(v) for k, v in zip(("col", "no", "n", "pos"), out, strict=True)})
 
     both = texts.select("chunk", "no", "text").groupBy("chunk").cogroup(found.groupBy("chunk"))
