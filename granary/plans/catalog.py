@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary.operators import checks, chunks, stats
 from granary.operators.ordered import at_ranks, running
 from granary.operators.staging import shared_folder
-from granary.plans import formats
+from granary.plans import formats, payloads
 from granary.streaming.guard import guard_stream
 
 
@@ -319,5 +319,5 @@ SELECT doc_id, op, CASE WHEN min(f) IS NULL THEN 'LITERAL' ELSE 'COPY' END AS ki
 }
 SQL["stream_replay_guard"] = SQL["replay_guard"]
 
-QUERIES |= formats.QUERIES
-SQL |= formats.SQL
+QUERIES |= formats.QUERIES | payloads.QUERIES
+SQL |= formats.SQL | payloads.SQL
