@@ -1,4 +1,4 @@
-"""Queries on hashed, compressed and patched payloads, and the SQL that gives the same rows."""
+"""Queries on hashed, compressed and patched payloads and on their faults, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import codecs
+from granary.functions import categories, codecs
 from granary.functions.digests import blake3_of
 from granary.operators import patches
+from granary.plans import formats
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,14 @@ def patch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("change").agg(F.count("*").alias("n"), F.sum("size").alias("target_bytes"), F.sum("patch").alias("patch_bytes"), F.max("patch").alias("largest"))
 
 
+def fault_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and common number of the first fault of each package."""
+    rows = formats.package_faults(spark, sf_dir)
+    return rows.withColumn("x", categories.category_of("package", F.col("code"))).select("path", "x.category", "x.number")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (payload_blake3, deflate_round_trip, archive_round_trip, archive_refusals, byte_patch_round_trip, patch_faults, patch_sizes)
+    f.__name__: f for f in (payload_blake3, deflate_round_trip, archive_round_trip, archive_refusals, byte_patch_round_trip, patch_faults, patch_sizes, fault_categories)
 }
 
 _SAME = "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents"
@@ -102,4 +109,6 @@ SQL: dict[str, str] = {
     "byte_patch_round_trip": f"""WITH t AS (SELECT doc_id, ({list(CHANGES)})[doc_id % 4 + 1] AS change, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, change, 'Ok' AS code, sha256(CASE change WHEN 'front' THEN 'header ' || t WHEN 'back' THEN t || ' trailer' WHEN 'both' THEN 'header ' || t || ' trailer' ELSE t END) AS sha256 FROM t""",
     "patch_faults": f"SELECT doc_id, ({list(FAULTS)})[doc_id % {len(FAULTS)} + 1] AS code FROM documents",
+    "fault_categories": f"""WITH k(code, category, number) AS (VALUES {', '.join(f"('{k}', '{c}', CAST({n} AS BIGINT))" for k, (c, n) in (categories.PACKAGE | {'Ok': categories.NONE}).items())}),
+f AS ({formats.SQL['package_faults']}) SELECT path, coalesce(category, 'Unknown') AS category, coalesce(number, 255) AS number FROM f LEFT JOIN k USING (code)""",
 }

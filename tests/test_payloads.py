@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import codecs
+from granary.functions import categories, codecs
 from granary.functions.digests import blake3, blake3_of
 from granary.operators import patches
 from granary.plans import payloads
@@ -92,3 +92,11 @@ def test_patch_sizes(spark, tmp_path):
         now = len(patches.create(base, target))
         want[payloads.CHANGES[i % 4]] = (n + 1, size + len(target), patch + now, max(top, now))
     assert {r.change: tuple(r)[1:] for r in payloads.patch_sizes(spark, str(tmp_path)).collect()} == want
+
+
+def test_categories(spark):
+    cases = [("config", "Crc32Mismatch", ("InvalidChecksum", 7)), ("log", "Crc32Mismatch", ("InvalidChecksum", 6)), ("package", "CyclicDependency", ("DependencyError", 104))]
+    cases += [("log", "EmptyChunk", ("Unknown", 255)), ("log", "Ok", ("None", 0)), ("config", None, None)]
+    for name, code, want in cases:
+        got = spark.createDataFrame([(code,)], "code string").select(categories.category_of(name, F.col("code"))).first()[0]
+        assert got == want
