@@ -2,10 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import categories, codecs
+from granary.functions import categories, codecs, digests
 from granary.functions.digests import blake3, blake3_of
 from granary.operators import patches
 from granary.plans import payloads
@@ -81,6 +82,33 @@ def test_null_and_empty_columns(spark):
     assert rows.where(F.lit(False)).select(codecs.packed("base")).count() == 0
 
 
+@pytest.fixture
+def steps(monkeypatch):
+    """A list that gets an item at each hashing step."""
+    found, step = [], digests._compress
+    monkeypatch.setattr(digests, "_compress", lambda *x: found.append(1) or step(*x))
+    return found
+
+
+def test_patches_are_hashed_together(steps):
+    bases = [counting(n) for n in range(0, 5000, 50)]
+    targets = [b"header " + b for b in bases]
+    made = patches.patch_of.func(pd.Series(bases), pd.Series(targets))
+    got = patches.patched.func(pd.Series(bases), made)
+    assert got.code.eq("Ok").all() and got.content.tolist() == targets
+    assert len(steps) < 100  # for a pair alone 16 steps and more, three times
+
+
+def test_long_lists_are_hashed_in_parts(monkeypatch):
+    payloads = [counting(n) for n in (0, 5, 3000, 1024, 9000, 1, 1, 1, 0)]
+    want = digests.blake3(payloads)
+    monkeypatch.setattr(digests, "BATCH_BYTES", 2048)
+    assert [list(x) for x in digests.batches([len(p) for p in payloads])] == [[0, 1], [2], [3], [4], [5, 6], [7, 8]]
+    assert digests.blake3(payloads) == want == [digests.blake3([p])[0] for p in payloads]
+    pairs = [(p, patches.create(p, p + b"!")) for p in payloads]
+    assert patches.applied(pairs) == [("Ok", p + b"!") for p in payloads]
+
+
 def test_patch_sizes(spark, tmp_path):
     texts = ["", None, "abc" * 3000, "é" * 5000, "short"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
