@@ -99,6 +99,22 @@ def test_patches_are_hashed_together(steps):
     assert len(steps) < 100  # for a pair alone 16 steps and more, three times
 
 
+def test_damaged_patches_are_hashed_together(steps):
+    bases = [counting(n) for n in range(20, 4020, 50)]
+    made = [patches.create(b, b + b"!") for b in bases]
+    heads = [m[:76] for m in made]
+    bad = [
+        m if k == 0 else b"J" + m[1:] if k == 1 else m[:8] + b"\x02" + m[9:] if k == 2 else m[:12] + bytes(32) + m[44:] if k == 3 else m[:44] + bytes(32) + m[76:] if k == 4
+        else m[:75] if k == 5 else h + b"\x07" + m[77:] if k == 6 else h + b"\x00" + b"\xff" * 7 + b"\x7f\x01\x00\x00\x00"
+        for k, m, h in zip([i % 8 for i in range(len(made))], made, heads, strict=True)
+    ]
+    steps.clear()
+    got = patches.patched.func(pd.Series(bases), pd.Series(bad))
+    assert got.code.tolist() == [payloads.FAULTS[i % 8] for i in range(len(bases))]
+    assert [c for c in got.content if c is not None] == [b + b"!" for b in bases[::8]]
+    assert len(steps) < 60  # for a base alone up to 18 steps
+
+
 def test_long_lists_are_hashed_in_parts(monkeypatch):
     payloads = [counting(n) for n in (0, 5, 3000, 1024, 9000, 1, 1, 1, 0)]
     want = digests.blake3(payloads)
