@@ -125,6 +125,28 @@ def test_long_lists_are_hashed_in_parts(monkeypatch):
     assert patches.applied(pairs) == [("Ok", p + b"!") for p in payloads]
 
 
+def test_copied_bytes_are_not_searched(monkeypatch):
+    summed, sums = [], patches._sums
+    monkeypatch.setattr(patches, "_sums", lambda data, *size: summed.append(len(data)) or sums(data, *size))
+    base = random.Random(2).randbytes(50_000)
+    copy = b"\0" + bytes(8) + len(base).to_bytes(4, "little")
+    assert patches.create(base, base)[76:] == copy and patches.create(base, base + b"x")[76:] == copy + b"\1\1\0\0\0x"
+    assert not summed
+    assert patches.create(base, b"header " + base)[76:] == b"\1\7\0\0\0header " + copy
+    assert sum(summed) < len(base) + 3 * patches.SLICE
+
+
+def test_first_block_and_last_bytes_are_copied():
+    draw = random.Random(4)
+    block, other, end = draw.randbytes(4096), draw.randbytes(4096), draw.randbytes(32)
+    base = other + block + block + end
+    copy = lambda start, n: b"\0" + start.to_bytes(8, "little") + n.to_bytes(4, "little")
+    assert patches.create(base, b"?" + block + b"!!" + end)[76:] == b"\1\1\0\0\0?" + copy(4096, 4096) + b"\1\2\0\0\0!!" + copy(12288, 32)
+    assert patches.create(base, end + other[1:])[76:79] == b"\1" + (32 + 4095).to_bytes(2, "little")
+    far = draw.randbytes(patches.WINDOW * 3)
+    assert patches.create(base, far + block)[76 + 5 + len(far) :] == copy(4096, 4096)
+
+
 def test_patch_sizes(spark, tmp_path):
     texts = ["", None, "abc" * 3000, "é" * 5000, "short"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
